@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe
+from . import byte_bpe, simhash
 from .common import read
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.components(read(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries():
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {"op3_simhash": op3_simhash, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql():
