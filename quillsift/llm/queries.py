@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, simhash
+from . import byte_bpe, decontaminate, simhash
 from .common import read
 
 
@@ -12,13 +12,17 @@ def op3_simhash(spark, sf_dir):
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries():
-    return {"op3_simhash": op3_simhash, "op10_byte_bpe": op10_byte_bpe}
+    return {"op3_simhash": op3_simhash, "op7_decontaminate": op7_decontaminate, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql():
-    return {}
+    return {"op7_decontaminate": decontaminate.ORACLE}
