@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, simhash
+from . import byte_bpe, decontaminate, langid, simhash
 from .common import read
 
 
+def op2_langid(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.components(read(spark, sf_dir, "documents"))
 
@@ -21,7 +26,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {"op3_simhash": op3_simhash, "op7_decontaminate": op7_decontaminate, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_langid": op2_langid, "op3_simhash": op3_simhash, "op7_decontaminate": op7_decontaminate, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql():
