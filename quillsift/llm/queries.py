@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, langid, simhash
+from . import byte_bpe, decontaminate, langid, pii, simhash
 from .common import read
 
 
@@ -21,12 +21,22 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries():
-    return {"op2_langid": op2_langid, "op3_simhash": op3_simhash, "op7_decontaminate": op7_decontaminate, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_langid": op2_langid, "op3_simhash": op3_simhash, "op7_decontaminate": op7_decontaminate, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe, "pipeline": pipeline}
 
 
 def oracle_sql():
