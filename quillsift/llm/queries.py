@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, langid, pii, simhash
+from . import byte_bpe, decontaminate, langid, pii, simhash, token_files
 from .common import read
 
 
@@ -17,6 +17,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark, sf_dir):
+    return token_files.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -36,7 +40,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {"op2_langid": op2_langid, "op3_simhash": op3_simhash, "op7_decontaminate": op7_decontaminate, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe, "pipeline": pipeline}
+    return {"op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_token_files": op4_token_files, "op7_decontaminate": op7_decontaminate, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe, "pipeline": pipeline}
 
 
 def oracle_sql():
