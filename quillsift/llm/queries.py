@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, langid, pii, simhash, token_files
+from . import byte_bpe, decontaminate, langid, media, pii, simhash, token_files
 from .common import read
 
 
+def op1_media(spark, sf_dir):
+    return media.stored(read(spark, sf_dir, "documents"))
+
+
 def op2_langid(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -40,7 +44,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {"op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_token_files": op4_token_files, "op7_decontaminate": op7_decontaminate, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe, "pipeline": pipeline}
+    return {"op1_media": op1_media, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_token_files": op4_token_files, "op7_decontaminate": op7_decontaminate, "op9_pii": op9_pii, "op10_byte_bpe": op10_byte_bpe, "pipeline": pipeline}
 
 
 def oracle_sql():
