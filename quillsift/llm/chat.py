@@ -59,9 +59,9 @@ p AS (SELECT DISTINCT conv_id, who AS perspective FROM s WHERE who <> '{CONTEXT}
 b AS (SELECT s.*, p.perspective, CAST(floor(s.turn / {WINDOW}.0) AS BIGINT) AS part,
   CASE WHEN who = perspective THEN '<|assistant|>' || chr(10) WHEN who = '{CONTEXT}' THEN '<|system|>' || chr(10) ELSE '<|user name=' || who || '|>' || chr(10) END AS head FROM s JOIN p USING (conv_id)),
 l AS (SELECT *, head || body || '<|end|>' || chr(10) AS piece,
-  coalesce(sum(length(head) + length(body) + {len(END)}) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, who, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM b),
+  coalesce(sum(length(head) + length(body) + {len(END)}) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, who, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
 g AS (SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn, who, body) AS text,
-  coalesce(string_agg(CASE WHEN who = perspective THEN CAST(CAST(at + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at + length(head) + length(body) + {len(END)} AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, who, body), '') AS masks FROM l GROUP BY ALL)
+  coalesce(string_agg(CASE WHEN who = perspective THEN CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(body) + {len(END)} AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, who, body), '') AS masks FROM l GROUP BY ALL)
 SELECT conv_id, perspective, row_number() OVER w - 1 AS "window", n_turns, text, masks,
   CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
 FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY part)
