@@ -180,7 +180,7 @@ def xml_attribute(text: Text) -> Column:
 
 
 def signal_name(signal: Text) -> Column:
-    return F.expr("trim(BOTH ':' FROM x)") if signal == "x" else F.regexp_replace(F.regexp_replace(_col(signal), r"[\d×/=().]+", ""), "^:+|:+$", "")
+    return F.regexp_replace(F.regexp_replace(_col(signal), r"[\d×/=().]+", ""), "^:+|:+$", "")
 
 
 def usage_cost(tokens_in: Text, tokens_out: Text, price_in: Text, price_out: Text) -> Column:

@@ -88,7 +88,7 @@ def inject(docs: DataFrame, payload: str, key: str = "doc_id", body: str = "text
     for i, t in enumerate(TECHNIQUES):
         text_ = F.when(which == i, F.concat(F.col(body), F.lit("\n\n" + parts[t]))).otherwise(text_)
         name = F.when(which == i, F.lit(t)).otherwise(name)
-    return docs.select(F.col(key).alias("case"), text_.alias("text"), name.alias("technique"), F.lit(payload).alias("payload"))
+    return docs.select(F.col(key).alias("case"), text_.alias("text"), name.alias("technique"), F.when(name == "homoglyph", parts["homoglyph"]).otherwise(payload).alias("payload"))
 
 
 def snapshots_differ(now: DataFrame, golden: DataFrame) -> DataFrame:
