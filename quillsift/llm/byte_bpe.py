@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from .common import id_field
 
-#: Entries of the cache from a chunk of text to its ids, in each Python worker. It bounds memory and changes no result.
-CACHE = 300_000
+#: Entries of the cache from a chunk of text to its ids, in each Python worker, rows that are worked on at once, and
+#: characters of a text that are cut into chunks at once. They bound memory and change no result.
+CACHE, ROWS, PIECE = 150_000, 128, 1 << 21
 UNKNOWN = ""
 
 
@@ -106,21 +107,32 @@ class Codec:
         white space, so texts are cut there and each distinct piece is encoded once; a text with other white space
         beside a space is one piece."""
         for text in texts:
-            if not text:
-                yield []
-                continue
-            first, *rest = text.split(" ")
-            chunks = [first, *(" " + x for x in rest)]
-            if rest and (first[-1:].isspace() or not all(x and not x[0].isspace() and not x[-1].isspace() for x in rest)):
-                chunks = [text]
-            if missing := set(chunks).difference(self.cache):
-                if len(self.cache) + len(missing) > CACHE:
-                    self.cache.clear()
-                    missing = set(chunks)
-                self._learn(missing)
-            yield list(itertools.chain.from_iterable(map(self.cache.__getitem__, chunks)))
-            if chunks[0] is text and len(text) > 200:
-                self.cache.pop(text, None)
+            yield list(itertools.chain.from_iterable(map(self._encode, self._parts(text or ""))))
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """Long texts in parts, cut before single spaces between two characters that are not white space."""
+        at = 0
+        while at < len(text):
+            stop = min(len(text), at + PIECE)
+            while stop < len(text) and not (text[stop] == " " and not text[stop - 1].isspace() and not text[stop + 1 : stop + 2].isspace() and stop + 1 < len(text)):
+                stop += 1
+            yield text[at:stop]
+            at = stop
+
+    def _encode(self, text: str) -> list[int]:
+        first, *rest = text.split(" ")
+        chunks = [*([first] if first else []), *(" " + x for x in rest)]
+        if first[-1:].isspace() and rest or not all(x and not x[0].isspace() and not x[-1].isspace() for x in rest):
+            chunks = [text]
+        if missing := set(chunks).difference(self.cache):
+            if len(self.cache) + len(missing) > CACHE:
+                self.cache.clear()
+                missing = set(chunks)
+            self._learn(missing)
+        found = list(itertools.chain.from_iterable(map(self.cache.__getitem__, chunks)))
+        if len(chunks) == 1 and len(text) > 200:
+            self.cache.pop(text, None)
+        return found
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -135,23 +147,35 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _check_free(df: DataFrame, name: str) -> None:
     if name.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the input has a column {name}")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of each text as array<int>."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each text as array<int> and, where `decoded` is given, the bytes that these decode to."""
     _check_free(docs, out)
+    if decoded:
+        _check_free(docs, decoded)
     at = docs.columns.index(text)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType()))
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            ids = pa.array(own.encode(batch.column(at).to_pylist()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
+        for batch in _slices(batches):
+            ids = list(own.encode(batch.column(at).to_pylist()))
+            arrays = [pa.array(ids, pa.list_(pa.int32()))] + ([pa.array(map(own.decode, ids), pa.binary())] if decoded else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(f.name for f in fields)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -161,7 +185,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             found = pa.array([None if x is None else own.decode(x) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
 
@@ -175,7 +199,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     def run(batches):
         own = codec(path, pattern)
         decimal = {i: str(i) for i in own.tokens}
-        for batch in batches:
+        for batch in _slices(batches):
             n, of_ids, of_bytes = [], [], []
             for ids in own.encode(batch.column(1).to_pylist()):
                 n.append(len(ids))

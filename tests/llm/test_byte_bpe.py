@@ -29,6 +29,13 @@ def test_same_ids_as_the_library_and_round_trip(library):
         assert own.decode(ids) == text.encode()
 
 
+def test_long_texts_in_parts(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PIECE", 9)
+    own = byte_bpe.Codec(PATH, P.PATTERN)
+    for text, ids in zip(texts(), own.encode(texts()), strict=True):
+        assert ids == library.encode_ordinary(text), repr(text)
+
+
 def test_digests_of_null_repeated_and_extra_columns(spark, library):
     rows = [(1, None, "x"), (2, "", "x"), (3, "the cat", "y"), (3, "the cat", "y"), (None, "dog", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
@@ -45,5 +52,7 @@ def test_columns_go_through_encode_and_decode(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     both = byte_bpe.decode(byte_bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).orderBy("doc_id").collect()
     assert bytes(both[0].decoded) == b"a b" and both[1].ids == []
+    one = byte_bpe.encode(df, PATH, P.PATTERN, decoded="raw").orderBy("doc_id").collect()
+    assert [bytes(r.raw) for r in one] == [b"a b", b""]
     with pytest.raises(ValueError):
         byte_bpe.encode(df, PATH, P.PATTERN, out="TEXT")
