@@ -41,9 +41,8 @@ def personal_data(spark, docs, sf_dir):
 def tokens(spark, docs, sf_dir):
     """doc_id, token ids, their number, and the SHA-256 of the bytes that they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    decoded = byte_bpe.decode(encoded, path, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("personal_data", personal_data), ("tokens", tokens)]
