@@ -54,14 +54,14 @@ def decode_tags(text: Text) -> Column:
 
 
 #: Letters that Java's scripts count otherwise than Unicode names do.
-_NOT_LATIN = r"[\p{IsLatin}&&[^ªºK℀-⅏Ａ-Ｚａ-ｚ]]"
-_NOT_GREEK = r"[\p{IsCyrillic}\p{IsGreek}&&[^Ω]]"
+LATIN = r"[\p{IsLatin}&&[^ªºK℀-⅏Ａ-Ｚａ-ｚ]]"
+OTHER_SCRIPT = r"[\p{IsCyrillic}\p{IsGreek}&&[^Ω]]"
 
 
 def mixed_script_words(text: Text, limit: int = 5) -> Column:
     """The first words that mix Latin with Cyrillic or Greek letters, repeats kept."""
     words = F.regexp_extract_all(_col(text), F.lit(r"([\p{IsAlphabetic}\p{IsDigit}_&&[^\p{M}]]+)"))
-    mixed = F.filter(words, lambda w: w.rlike(_NOT_LATIN) & w.rlike(_NOT_GREEK))
+    mixed = F.filter(words, lambda w: w.rlike(LATIN) & w.rlike(OTHER_SCRIPT))
     return F.slice(mixed, 1, limit)
 
 

@@ -50,7 +50,7 @@ def _indexes(condition: str) -> str:
 def _hits() -> tuple[str, str]:
     """SQL for the hits on a whole block and on runs of it."""
     ink = f"format IN ('pdf', 'docx') AND abs({_luminance('r.color')} - CASE WHEN r.background IS NULL THEN 1D WHEN r.background <> 'image' THEN {_luminance('r.background')} END) < {fixed.CONTRAST}D"
-    small = f"(r.size <= {fixed.TINY_PT} OR (r.size < {fixed.TINY_RELATIVE_PT} AND r.size < {fixed.TINY_RATIO} * body_size))"
+    small = f"(r.size <= {fixed.TINY_PT} OR (r.size < {fixed.TINY_RELATIVE_PT} AND r.size < {fixed.TINY_RATIO} * s.z))"
     reasons = "filter(b.flags, f -> startswith(f, 'hidden:'))"
     whole = f"""array_compact(array(
         CASE WHEN array_contains(b.flags, 'off_page') THEN named_struct('d', 'H3', 'k', 'off_page', 'n', 'drawn outside the page') END,
@@ -80,32 +80,42 @@ def _found(hits: str, at: str, body: str, status: str) -> str:
     return f"""transform({hits}, h -> named_struct('detector', h.d, 'kind', h.k, 'severity', 'warning', 'status', '{status}', 'block', {at}, 'page', x.b.page, 'excerpt', {_clip(body)}, 'note', h.n))"""
 
 
-def screen(docs: DataFrame) -> DataFrame:
-    """docs with rewritten `blocks` and an array `block_findings`, findings about metadata first."""
+def _bind(name: str, value: str, body: str) -> str:
+    """SQL for body with a name for a value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _body_size() -> str:
+    """SQL for the size, to halves, of most characters of a document's runs; null where too few have one."""
     sizes = "flatten(transform(blocks, b -> transform(b.runs, r -> named_struct('s', bround(r.size * 2) / 2, 'n', length(r.text)))))"
     weights = f"aggregate({sizes}, cast(map() as map<double,int>), (m, r) -> CASE WHEN r.s > 0 THEN map_concat(map_filter(m, (k, v) -> k <> r.s), map(r.s, coalesce(m[r.s], 0) + r.n)) ELSE m END)"
     chars = "aggregate(blocks, 0, (n, b) -> n + length(b.text))"
-    rows = docs.withColumn("_w", F.expr(weights)).withColumn("body_size", F.expr(f"CASE WHEN aggregate(map_values(_w), 0, (n, v) -> n + v) >= {fixed.SIZED_SHARE} * greatest(1, {chars}) THEN try_element_at(array_sort(map_entries(_w), (a, b) -> b.value - a.value), 1).key END"))
-    whole, partial = _hits()
-    rows = rows.withColumn("_h", F.expr(f"transform(blocks, b -> named_struct('b', b, 'w', {whole}, 'p', {partial}))"))
-    payload = text.decode_tags(F.col("t"))
-    # characters: payloads, counts and mixed scripts of each block
-    def encoded(b):
-        counts = text.invisible_counts(b["text"])
-        spelled = text.decode_tags(b["text"])
-        mixed = text.mixed_script_words(b["text"])
-        seen = F.map_filter(counts, lambda k, _: k != "tag")
-        first = F.regexp_instr(b["text"], F.lit(fixed.INVISIBLE))
-        window = F.substring(b["text"], F.greatest(F.lit(1), first - 60), 240 + F.least(F.lit(0), first - 60))
-        listed = F.array_join(F.transform(F.map_entries(seen), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
-        return F.struct(
-            F.when(F.trim(spelled) != "", spelled).alias("payload"),
-            F.when(F.size(seen) > 0, F.struct(F.lit("H6").alias("d"), F.lit("invisible_characters").alias("k"), listed.alias("n"), window.alias("x"))).alias("counts"),
-            F.when(F.size(mixed) > 0, F.struct(F.lit("H6").alias("d"), F.lit("mixed_script").alias("k"), F.array_join(mixed, ", ").alias("n"), b["text"].alias("x"))).alias("mixed"),
-        )
+    best = "try_element_at(array_sort(map_entries(m), (a, b) -> b.value - a.value), 1).key"
+    return _bind("m", weights, f"CASE WHEN aggregate(map_values(m), 0, (n, v) -> n + v) >= {fixed.SIZED_SHARE} * greatest(1, {chars}) THEN {best} END")
+
+
+def _encoded() -> str:
+    """SQL for what a block's characters hide: a payload in tags, counts of invisible ones, words of mixed scripts."""
+    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    seen, tags = "".join(map(chr, range(0x20, 0x7F))), "".join(chr(0xE0000 + c) for c in range(0x20, 0x7F))
+    spelled = f"translate(regexp_replace(b.text, r'[^\\x{{E0020}}-\\x{{E007E}}]', ''), {quote(tags)}, {quote(seen)})"
+    kinds = {"zero_width": fixed.ZERO_WIDTH, "bidi": fixed.BIDI, "private_use": fixed.PRIVATE_USE}
+    listed = "array_join(array_compact(array(" + ", ".join(f"CASE WHEN regexp_count(b.text, r'{p}') > 0 THEN concat('{k}=', regexp_count(b.text, r'{p}')) END" for k, p in kinds.items()) + ")), ', ')"
+    first = f"regexp_instr(b.text, r'{fixed.INVISIBLE}')"
+    window = f"substr(b.text, greatest(1, {first} - 60), 240 + least(0, {first} - 60))"
+    words = rf"slice(filter(regexp_extract_all(b.text, r'([\p{{IsAlphabetic}}\p{{IsDigit}}_&&[^\p{{M}}]]+)', 0), w -> w rlike r'{text.LATIN}' AND w rlike r'{text.OTHER_SCRIPT}'), 1, 5)"
+    hit = lambda kind, note, found: f"named_struct('d', 'H6', 'k', '{kind}', 'n', {note}, 'x', {found})"
+    odd = f"b.text rlike r'{fixed.INVISIBLE}'"
+    return f"""named_struct('payload', CASE WHEN {odd} THEN nullif(trim({spelled}), '') END,
+        'counts', CASE WHEN {odd} THEN CASE WHEN {listed} <> '' THEN {hit("invisible_characters", listed, window)} END END,
+        'mixed', CASE WHEN b.text rlike r'{text.OTHER_SCRIPT}' THEN CASE WHEN size({words}) > 0 THEN {hit("mixed_script", f"array_join({words}, ', ')", "b.text")} END END)"""
 
-    del payload
-    rows = rows.withColumn("_e", F.transform("blocks", encoded)).withColumn("_h", F.expr("transform(_h, (x, i) -> named_struct('b', x.b, 'w', x.w, 'p', x.p, 'e', _e[i]))"))
+
+def screen(docs: DataFrame) -> DataFrame:
+    """docs with rewritten `blocks` and an array `block_findings`, findings about metadata first."""
+    whole, partial = _hits()
+    hits = f"transform(s.bs, b -> named_struct('b', b, 'w', {whole}, 'p', {partial}, 'e', {_encoded()}))"
+    rows = docs.withColumn("_h", F.expr(_bind("s", f"named_struct('bs', blocks, 'z', {_body_size()})", hits)))
     covered = "size(array_distinct(flatten(transform(x.p, h -> h.r)))) >= size(x.b.runs)"
     is_whole = f"(size(x.w) > 0 OR (size(x.p) > 0 AND size(x.b.runs) > 0 AND {covered}))"
     both = "concat(x.w, transform(x.p, h -> named_struct('d', h.d, 'k', h.k, 'n', h.n)))"
@@ -129,12 +139,19 @@ def screen(docs: DataFrame) -> DataFrame:
     number = "transform(_out, (o, i) -> named_struct('block', i, 'page', o.b.page, 'type', o.b.type, 'level', o.b.level, 'text', o.b.text, 'flags', o.b.flags, 'runs', o.b.runs))"
     placed = "flatten(transform(_out, (o, i) -> transform(o.f, f -> named_struct('detector', f.detector, 'kind', f.kind, 'severity', f.severity, 'status', f.status, 'block', i, 'page', f.page, 'excerpt', f.excerpt, 'note', f.note))))"
     rows = rows.withColumn("block_findings", F.concat(metadata_findings("meta"), F.expr(placed))).withColumn("blocks", F.expr(number))
-    return rows.drop("_w", "body_size", "_h", "_e", "_out")
+    return rows.drop("_h", "_out")
+
+
+#: Every directive pattern holds one of these; most texts hold none and are judged by this alone.
+_HINTS = (
+    r"\b(ignore|disregard|forget|you are|as an?|reviewer|reader|system|agent|grader|reading this|rate|grade|score|evaluate|review|assess|give|recommend|mark|flag|"
+    r"do not|respond|reply|answer|output|begin|important|attention|note|notice|instruction|prompt|directive)"
+)
 
 
 def directive(body) -> F.Column:
     """The number of the first directive pattern that a text matches, from 0; null if none does."""
-    return F.coalesce(*(F.when(text.has(body, p), F.lit(i)) for i, p in enumerate(fixed.DIRECTIVES)))
+    return F.when(text.has(body, _HINTS), F.coalesce(*(F.when(text.has(body, p), F.lit(i)) for i, p in enumerate(fixed.DIRECTIVES))))
 
 
 def metadata_findings(meta: str = "meta") -> F.Column:

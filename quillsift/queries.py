@@ -150,9 +150,9 @@ def _invisible(spark, sf_dir):
 def strip_invisible_counts(spark, sf_dir):
     """Injected invisible characters are counted by class and stripped."""
     d = _invisible(spark, sf_dir).withColumn("c", text.invisible_counts("text"))
-    got = [F.coalesce(F.try_element_at("c", F.lit(k)), F.lit(0)).alias(k) for k in ("zero_width", "bidi", "private_use", "tag")]
+    got = [F.coalesce(F.try_element_at("c", F.lit(k)), F.lit(0)).cast("long").alias(k) for k in ("zero_width", "bidi", "private_use", "tag")]
     seen = F.length(text.strip_invisible("text"))
-    return d.select("doc_id", seen.alias("seen"), (F.length("text") - seen).alias("removed"), *got)
+    return d.select("doc_id", seen.cast("long").alias("seen"), (F.length("text") - seen).cast("long").alias("removed"), *got)
 
 
 @query("""SELECT doc_id, substr(text, 1, 12) AS payload FROM documents WHERE doc_id % 17 = 4 AND regexp_matches(substr(text, 1, 12), '^[ -~]{12}$')""")
@@ -173,16 +173,16 @@ def mixed_script_words(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), '\\n+', chr(31), 'g'), chr(31))) AS s FROM documents)
-SELECT doc_id, count(*) AS sentences, sum(length(trim(s))) AS chars, max(length(trim(s))) AS longest FROM s WHERE trim(s) <> '' GROUP BY doc_id""")
+SELECT doc_id, count(*) AS sentences, CAST(sum(length(trim(s))) AS BIGINT) AS chars, max(length(trim(s))) AS longest FROM s WHERE trim(s) <> '' GROUP BY doc_id""")
 def sentence_explode(spark, sf_dir):
     s = _docs(spark, sf_dir).select("doc_id", F.explode(text.sentences("text")).alias("s")).withColumn("n", F.length("s.text"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("n").alias("chars"), F.max("n").alias("longest"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("n").alias("chars"), F.max("n").cast("long").alias("longest"))
 
 
 @query("""SELECT doc_id, length(regexp_replace(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+', '[email]', 'g')) AS chars, len(regexp_extract_all(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+')) AS mails FROM documents""")
 def redact_emails(spark, sf_dir):
     mail = "(?U)" + text.EMAIL
-    return _docs(spark, sf_dir).select("doc_id", F.length(F.regexp_replace("text", mail, "[email]")).alias("chars"), F.regexp_count("text", F.lit(mail)).cast("long").alias("mails"))
+    return _docs(spark, sf_dir).select("doc_id", F.length(F.regexp_replace("text", mail, "[email]")).cast("long").alias("chars"), F.regexp_count("text", F.lit(mail)).cast("long").alias("mails"))
 
 
 @query()
@@ -406,7 +406,7 @@ def greedy_segments(spark, sf_dir):
 def huge_paragraph_split(spark, sf_dir):
     """Long paragraphs in pieces; the pieces joined again are as long as the paragraph."""
     d = _docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" "))).where(text.est_tokens("text") > fixed.MAX_TOKENS * fixed.HUGE_FACTOR)
-    return d.select("doc_id", F.length(F.array_join(F.expr(segmenter.pieces("text")), " ")).alias("chars"))
+    return d.select("doc_id", F.length(F.array_join(F.expr(segmenter.pieces("text")), " ")).cast("long").alias("chars"))
 
 
 @query("""WITH t AS (SELECT doc_id, i, CAST(10 + (doc_id * 31 + i * 17) % 120 AS INTEGER) AS n FROM documents, (SELECT unnest(range(6)) AS i)) SELECT doc_id, count(*) AS segments FROM t WHERE i = 0 OR n >= 50 GROUP BY doc_id""")
@@ -710,17 +710,19 @@ def resume_pending(spark, sf_dir):
 def page_analysis(spark, sf_dir):
     """The whole analysis of pages: zone shares."""
     from .plans.analysis import analyze
+    from .plans.cut import written
 
     pages = html.read(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
-    return analyze(pages).shares
+    return analyze(pages, written).shares
 
 
 @query()
 def document_analysis(spark, sf_dir):
     """The whole analysis of documents with injected sentences: verdicts."""
     from .plans.analysis import analyze
+    from .plans.cut import written
 
-    a = analyze(markdown.read(injected(spark, sf_dir)))
+    a = analyze(markdown.read(injected(spark, sf_dir)), written)
     return screening.verdicts(a.findings, a.docs)
 
 
