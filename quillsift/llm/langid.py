@@ -189,8 +189,8 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     return docs.select(F.col(doc_id), held_out(doc_id).alias("_held"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """docs whose language is known with a probability of at least `least`; rejects texts without letters and mixtures."""
+def accepted(docs: DataFrame, model: Model, least: float = 0.35, text: str = "text") -> DataFrame:
+    """docs whose language is known with a probability of at least `least`; rejects texts without letters and those that no label fits."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
