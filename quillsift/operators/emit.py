@@ -124,3 +124,30 @@ def by_place_lines(findings: DataFrame, key: str) -> DataFrame:
     rows = by_place(findings.where("severity = 'critical'"), key)
     line = F.concat(F.lit("- "), F.col("place"), F.lit(" ["), F.array_join("detectors", ", "), F.lit("] "), F.col("excerpt"))
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", line.alias("l")))), lambda x: x["l"]), "\n").alias("grave"))
+
+
+def preview(body: str = "text", limit: int = 90) -> Column:
+    """The first line that is no heading, cut short; the first line where all are headings."""
+    own = F.coalesce(first_line(body, limit), F.get(F.split(F.col(body), "\n"), F.lit(0)))
+    return F.when(F.length(own) > limit + 1, F.concat(F.substring(own, 1, limit), F.lit("…"))).otherwise(own)
+
+
+def page_range(first: str = "page_start", last: str = "page_end") -> Column:
+    """p3 or p3-5, empty without pages."""
+    a, b = F.col(first), F.coalesce(F.col(last), F.col(first))
+    return F.when(a.isNull(), "").when(a == b, F.concat(F.lit("p"), a)).otherwise(F.concat(F.lit("p"), a, F.lit("-"), b))
+
+
+def zone_map(segments: DataFrame, key: str = "doc_id", width: int = 20) -> DataFrame:
+    """(key, line): a bar for each zone of a document, the largest first."""
+    share = F.col("share")
+    bar = F.rpad(F.repeat(F.lit("#"), F.bround(share * width).cast("int")), width, ".")
+    return zone_shares(segments, key).select(key, "zone", F.format_string("%-13s %s %3d%%", "zone", bar, F.bround(share * 100).cast("int")).alias("line"), share)
+
+
+def listing(segments: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, seq, line): a line for each segment, furniture as one line for each document."""
+    furniture = F.arrays_overlap("flags", F.array(*map(F.lit, fixed.FURNITURE)))
+    own = segments.where(~furniture).select(key, "seq", F.concat_ws("  ", "segment_id", "zone", F.format_string("%.2f", "confidence"), F.nullif(page_range(), F.lit("")), preview()).alias("line"))
+    rest = segments.where(furniture).groupBy(key).agg(F.min("seq").alias("seq"), F.concat(F.count("*").cast("string"), F.lit(" page headers, footers or numbers, p"), F.min("page_start").cast("string"), F.lit("-"), F.max("page_end").cast("string")).alias("line"))
+    return own.unionByName(rest.withColumn("line", F.coalesce("line", F.lit("page headers, footers or numbers"))))

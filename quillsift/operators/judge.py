@@ -97,6 +97,36 @@ def ask(prompts: DataFrame, provider: Provider, system: str, key: str = "doc_id"
     return prompts.mapInPandas(run, f"`{key}` {kind}, batch int, segment_id string, zone string, confidence string")
 
 
+def ask_documents(outlines: DataFrame, provider: Provider, system: str, fields: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, fields as strings, lists as JSON) of the answers about whole documents, from (key, seq, entry) of emit.outline.
+    An answer without a field gives null; a document without an answer gives no row."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda x: x["entry"]), "\n")
+    rows = outlines.groupBy(key).agg(F.concat(F.lit("<document>\n"), body, F.lit("\n</document>")).alias("prompt"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        for frame in frames:
+            found = [(k, provider.ask(system, p)) for k, p in zip(frame[key], frame["prompt"], strict=True)]
+            yield pd.DataFrame([(k, *(flat(a.get(f)) for f in fields)) for k, a in found if isinstance(a, dict)], columns=[key, *fields])
+
+    return rows.mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"`{f}` string" for f in fields))
+
+
+def overviews(outlines: DataFrame, provider: Provider, system: str, key: str = "doc_id") -> DataFrame:
+    """(key, overview, doc_type): a paragraph and a known type, `other` for an unknown one."""
+    rows = ask_documents(outlines, provider, system, ["overview", "doc_type"], key).where("overview IS NOT NULL")
+    return rows.select(key, "overview", F.when(F.col("doc_type").isin(*fixed.DOC_TYPES), F.col("doc_type")).otherwise("other").alias("doc_type"))
+
+
+def usage(calls: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:
+    """(model, calls, failures, tokens_in, tokens_out, cost) of calls (model, tokens_in, tokens_out, ok) at prices a million
+    tokens (model, price_in, price_out); unknown models cost the default."""
+    by = calls.groupBy("model").agg(F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("failures"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    rows = by.join(F.broadcast(prices), "model", "left").fillna({"price_in": default[0], "price_out": default[1]})
+    return rows.select("model", "calls", "failures", "tokens_in", "tokens_out", text.usage_cost("tokens_in", "tokens_out", "price_in", "price_out").alias("cost"))
+
+
 def once(replies: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Replies by their keys, values only where the keys occur once, with the number of occurrences as `replies`."""
     return replies.groupBy(*keys).agg(F.count("*").alias("replies"), *(F.when(F.count("*") == 1, F.min(v)).alias("reply_" + v) for v in values))

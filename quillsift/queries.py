@@ -368,6 +368,41 @@ def pdf_runs(spark, sf_dir):
     return r.groupBy("doc_id", "page", "line", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
+def _dominant_sql(c: str) -> str:
+    return f"d_{c} AS (SELECT doc_id, page, line, max_by({c}, (n, -f)) AS {c} FROM (SELECT doc_id, page, line, {c}, sum(length(text)) AS n, min(ord) AS f FROM pl GROUP BY ALL) GROUP BY doc_id, page, line)"
+
+
+@query(f"""WITH {WORDS_SQL}, {_LINES_OF_WORDS_SQL}, {_dominant_sql("size")}, {_dominant_sql("font")}, {_dominant_sql("color")}, box AS (SELECT doc_id, page, line, min(x0) AS x0, max(x1) AS x1 FROM pl GROUP BY ALL)
+SELECT doc_id, page, CAST(line AS BIGINT) AS line, size, font, color, x0, x1 FROM box JOIN d_size USING (doc_id, page, line) JOIN d_font USING (doc_id, page, line) JOIN d_color USING (doc_id, page, line)""")
+def dominant_style(spark, sf_dir):
+    return pdf_words.dominant_style(pdf_words.lines(words(spark, sf_dir))).select("doc_id", "page", "line", "size", "font", "color", "x0", "x1")
+
+
+@query(f"WITH {SEGMENTS_SQL} SELECT doc_id, seq, CASE WHEN length(trim(text)) > 90 THEN left(trim(text), 90) || '…' ELSE trim(text) END AS preview FROM segs WHERE trim(text) <> ''")
+def segment_preview(spark, sf_dir):
+    return segments(spark, sf_dir).where(F.trim("text") != "").select("doc_id", "seq", emit.preview().alias("preview"))
+
+
+@query(f"WITH {SEGMENTS_SQL}, t AS (SELECT doc_id, zone, sum(tokens_est) AS n FROM segs GROUP BY ALL), s AS (SELECT doc_id, zone, round_even(n / sum(n) OVER (PARTITION BY doc_id), 4) AS share FROM t) SELECT doc_id, zone, CAST(round_even(share * 20, 0) AS INTEGER) AS bars FROM s")
+def zone_map(spark, sf_dir):
+    return emit.zone_map(segments(spark, sf_dir)).select("doc_id", "zone", F.regexp_count("line", F.lit("#")).alias("bars"))
+
+
+@query()
+def segment_listing(spark, sf_dir):
+    rows = segments(spark, sf_dir).withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
+    return emit.listing(rows)
+
+
+@query("""WITH c AS (SELECT source AS model, n_chars // 4 AS i, n_chars // 40 AS o, doc_id % 9 <> 0 AS ok FROM documents) SELECT model, count(*) AS calls, count(*) FILTER (NOT ok) AS failures, CAST(sum(i) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out,
+  round_even((sum(i) * CASE WHEN model = 'src1' THEN 3.0 ELSE 1.0 END + sum(o) * CASE WHEN model = 'src1' THEN 15.0 ELSE 5.0 END) / 1000000.0, 6) AS cost FROM c GROUP BY model""")
+def usage_cost(spark, sf_dir):
+    """Invented calls, a source in the part of a model."""
+    d = _docs(spark, sf_dir, "source", "n_chars")
+    calls = d.select(F.col("source").alias("model"), F.floor(F.col("n_chars") / 4).alias("tokens_in"), F.floor(F.col("n_chars") / 40).alias("tokens_out"), (F.col("doc_id") % 9 != 0).alias("ok"))
+    return judge.usage(calls, spark.createDataFrame([("src1", 3.0, 15.0)], "model string, price_in double, price_out double"), (1.0, 5.0))
+
+
 @query()
 def pdf_blocks(spark, sf_dir):
     """Words to typed lines to blocks."""

@@ -118,3 +118,12 @@ def blocks(rows: DataFrame) -> DataFrame:
 def off_page(width: Column, height: Column) -> Column:
     """Whether a box lies wholly outside its page."""
     return (F.col("x1") <= 0) | (F.col("bottom") <= 0) | (F.col("x0") >= width) | (F.col("top") >= height)
+
+
+def dominant_style(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page", "line")) -> DataFrame:
+    """(keys, size, font, color, box) with the value of each that most characters have; the earliest word wins a tie."""
+    out = words.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
+    for c in ("size", "font", "color"):
+        by = words.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.sum(F.length("text")).alias("n"), F.min("ord").alias("first"))
+        out = out.join(by.groupBy(*keys).agg(F.max_by(c, F.struct("n", -F.col("first"))).alias(c)), [*keys], "left")
+    return out
