@@ -52,7 +52,7 @@ def tokens(segments: DataFrame) -> DataFrame:
 
 def features(tokenized: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, slot, value): log counts summed in hashed slots, of length one for each segment."""
-    by = tokenized.select(*keys, F.explode("tokens").alias("t")).groupBy(*keys, "t").count()
+    by = tokenized.select(*keys, F.explode_outer("tokens").alias("t")).where("t IS NOT NULL").groupBy(*keys, "t").count()
     slots = by.groupBy(*keys, text.feature_slot("t").alias("slot")).agg(F.sum(F.log1p("count")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
     return slots.select(*keys, "slot", (F.col("v") / norm).alias("value"))

@@ -66,7 +66,7 @@ def batches(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     fold = f"""aggregate(own, named_struct('b', 0, 'c', 0, 't', 0, 'out', cast(array() as array<int>)),
         (a, x) -> CASE WHEN {full} THEN named_struct('b', a.b + 1, 'c', 1, 't', int(x.n), 'out', concat(a.out, array(a.b + 1)))
             ELSE named_struct('b', a.b, 'c', a.c + 1, 't', int(a.t + x.n), 'out', concat(a.out, array(a.b))) END, a -> a.out)"""
-    return own.select(key, F.explode(F.arrays_zip("own", F.expr(fold).alias("b"))).alias("x")).select(key, F.col("x.own.seq").alias("seq"), F.col("x.b").alias("batch"))
+    return own.select(key, F.explode_outer(F.arrays_zip("own", F.expr(fold).alias("b"))).alias("x")).where("x IS NOT NULL").select(key, F.col("x.own.seq").alias("seq"), F.col("x.b").alias("batch"))
 
 
 def prompts(segments: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:

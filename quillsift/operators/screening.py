@@ -24,7 +24,7 @@ def _original(seen: Column, body: Column, place: Column) -> Column:
 def sentences_of(segments: DataFrame, needs: Column) -> DataFrame:
     """A row for each sentence of the visible text of segments that meet a condition on `seen`."""
     seen = segments.withColumn("seen", text.strip_invisible("text")).where(needs)
-    return seen.select("*", F.explode(text.sentences("seen")).alias("sentence"))
+    return seen.select("*", F.explode_outer(text.sentences("seen")).alias("sentence")).where("sentence IS NOT NULL")
 
 
 def text_findings(segments: DataFrame, keys: tuple[str, ...] = ("doc_id", "segment_id")) -> DataFrame:

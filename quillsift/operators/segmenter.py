@@ -2,7 +2,8 @@
 
 Every document keeps its blocks in one array. Blocks become items (long paragraphs several), one fold opens
 and closes segments, a second joins small tails to their predecessor, and segments are numbered in the order
-of their first block. All of it is Catalyst expressions over the row.
+of their first block. All of it is Catalyst expressions over the row. Arrays that cost much are exploded by
+the outer generator: for the inner one the optimizer would add a filter that computes them a second time.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def segment_arrays(docs: DataFrame, out: str = "segments") -> DataFrame:
 
 def segments(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row for each segment: id, seq from 1, heading path, text, tokens, flags, pages and blocks."""
-    rows = segment_arrays(docs.select(doc_id, "blocks")).select(doc_id, F.posexplode("segments").alias("at", "s"))
+    rows = segment_arrays(docs.select(doc_id, "blocks")).select(doc_id, F.posexplode_outer("segments").alias("at", "s")).where("at IS NOT NULL")
     return rows.select(
         doc_id, (F.col("at") + 1).alias("seq"), F.concat(F.lit("s"), F.col("at") + 1).alias("segment_id"), F.col("s.path").alias("heading_path"),
         "s.text", F.col("s.tokens").alias("tokens_est"), "s.flags", "s.page_start", "s.page_end", "s.block_start", "s.block_end",
@@ -129,7 +130,7 @@ def greedy(rows: DataFrame, doc_id: str, order: str, tokens: str) -> DataFrame:
     fold = f"""aggregate(own, named_struct('seg', 1, 'have', 0, 'out', cast(array() as array<int>)),
         (a, x) -> CASE WHEN {full} THEN named_struct('seg', a.seg + 1, 'have', int(x.n), 'out', concat(a.out, array(a.seg + 1)))
             ELSE named_struct('seg', a.seg, 'have', int(a.have + x.n), 'out', concat(a.out, array(a.seg))) END, a -> a.out)"""
-    return own.select(doc_id, F.explode(F.arrays_zip("own", F.expr(fold).alias("seg"))).alias("x")).select(doc_id, F.col("x.own.o").alias(order), F.col("x.seg").alias("segment"))
+    return own.select(doc_id, F.explode_outer(F.arrays_zip("own", F.expr(fold).alias("seg"))).alias("x")).where("x IS NOT NULL").select(doc_id, F.col("x.own.o").alias(order), F.col("x.seg").alias("segment"))
 
 
 def heading_paths(lines: DataFrame, doc_id: str, order: str, level: str, body: str, depth: int = 6) -> DataFrame:

@@ -23,7 +23,7 @@ class Analysis(NamedTuple):
 
 
 def block_findings(screened: DataFrame) -> DataFrame:
-    rows = screened.select("doc_id", F.posexplode("block_findings").alias("finding", "f"))
+    rows = screened.select("doc_id", F.posexplode_outer("block_findings").alias("finding", "f")).where("finding IS NOT NULL")
     return rows.select("doc_id", F.col("finding").cast("long").alias("finding"), "f.*")
 
 

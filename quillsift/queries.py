@@ -175,7 +175,7 @@ def mixed_script_words(spark, sf_dir):
 @query("""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), '\\n+', chr(31), 'g'), chr(31))) AS s FROM documents)
 SELECT doc_id, count(*) AS sentences, CAST(sum(length(trim(s))) AS BIGINT) AS chars, max(length(trim(s))) AS longest FROM s WHERE trim(s) <> '' GROUP BY doc_id""")
 def sentence_explode(spark, sf_dir):
-    s = _docs(spark, sf_dir).select("doc_id", F.explode(text.sentences("text")).alias("s")).withColumn("n", F.length("s.text"))
+    s = _docs(spark, sf_dir).select("doc_id", F.explode_outer(text.sentences("text")).alias("s")).where("s IS NOT NULL").withColumn("n", F.length("s.text"))
     return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("n").alias("chars"), F.max("n").cast("long").alias("longest"))
 
 
@@ -250,7 +250,7 @@ def directive_through_zero_width(spark, sf_dir):
 def metadata_payloads(spark, sf_dir):
     """Properties: the text, which is long, or an injected directive."""
     d = _docs(spark, sf_dir).select("doc_id", F.create_map(F.lit("description"), F.when(F.col("doc_id") % 7 == 3, F.lit(DIRECTIVE)).otherwise(F.col("text"))).alias("meta"))
-    return d.select("doc_id", F.explode(hidden.metadata_findings()).alias("f")).select("doc_id", "f.severity", "f.status")
+    return d.select("doc_id", F.explode_outer(hidden.metadata_findings()).alias("f")).where("f IS NOT NULL").select("doc_id", "f.severity", "f.status")
 
 
 # ---------------------------------------------------------------- pages and Markdown
@@ -264,7 +264,7 @@ def page_titles_meta(spark, sf_dir):
 @query("""SELECT page_id, 'H4' AS detector, 'html_comment' AS kind, trim(unnest(regexp_extract_all(html, '<!--(.*?)-->', 1))) AS excerpt FROM pages""")
 def html_comments(spark, sf_dir):
     d = hidden.screen(html.read(_table(spark, sf_dir, "pages").select("page_id", "html")))
-    return d.select("page_id", F.explode("block_findings").alias("f")).where("f.kind = 'html_comment'").select("page_id", "f.detector", "f.kind", "f.excerpt")
+    return d.select("page_id", F.explode_outer("block_findings").alias("f")).where("f.kind = 'html_comment'").select("page_id", "f.detector", "f.kind", "f.excerpt")
 
 
 @query("""WITH p AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS list_items, len(regexp_extract_all(html, '<h1>')) AS headings, len(regexp_extract_all(html, '<!--')) AS comments FROM pages) SELECT * FROM p""")
@@ -278,7 +278,7 @@ def html_blocks(spark, sf_dir):
 def css_hidden_blocks(spark, sf_dir):
     """The advert of every fifth page is hidden by an injected rule of its style sheet."""
     p = _table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 1, F.replace("html", F.lit("p{margin:0}"), F.lit(".ad{display:none}"))).otherwise(F.col("html")).alias("html"))
-    d = hidden.screen(html.read(p)).select("page_id", F.explode("block_findings").alias("f")).where("f.kind = 'html_hidden'")
+    d = hidden.screen(html.read(p)).select("page_id", F.explode_outer("block_findings").alias("f")).where("f.kind = 'html_hidden'")
     return d.select("page_id", "f.kind", F.col("f.note").alias("note"))
 
 
@@ -340,7 +340,7 @@ def partial_block_split(spark, sf_dir):
     own = w.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(run)), lambda x: x["r"]).alias("runs"))
     b = F.struct(F.lit(0).alias("block"), F.lit(1).alias("page"), F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), F.array_join(F.transform("runs", lambda r: r["text"]), " ").alias("text"), F.expr("cast(array() as array<string>)").alias("flags"), F.transform("runs", lambda r: r.withField("size", F.lit(10.0))).alias("runs"))
     d = own.select("doc_id", F.lit("pdf").alias("format"), F.lit(None).cast("string").alias("title"), F.expr("cast(map() as map<string,string>)").alias("meta"), F.array(b).alias("blocks"))
-    out = hidden.screen(d).select("doc_id", F.explode("blocks").alias("b"))
+    out = hidden.screen(d).select("doc_id", F.explode_outer("blocks").alias("b"))
     return out.select("doc_id", "b.block", (F.size("b.flags") > 0).alias("hidden"), "b.text")
 
 
