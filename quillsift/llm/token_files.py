@@ -17,9 +17,9 @@ order of a hash of their texts; null ids come first; an empty table gives no row
 from __future__ import annotations
 
 import io
-import itertools
 import json
 import os
+import re
 import struct
 import zlib
 
@@ -33,18 +33,25 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tokenizers import Tokenizer
 
 from . import files
-from .common import id_field, shared_dir
+from .common import delete, id_field, shared_dir
 
 #: Bits of the frequency scale, most lanes, ids of a block, bytes of a reader's range.
 SCALE, LANES, BLOCK, RANGE = 20, 1024, 1 << 19, 32 << 20
-#: Remembered pieces in each of two generations, and characters that are split at once.
-CACHE, PIECE = 250_000, 1 << 21
+#: Remembered pieces, remembered cores in each of two generations, and characters that are split at once.
+PIECES, CORES, PIECE = 250_000, 400_000, 1 << 20
+#: Punctuation that is cut from the end of a piece; characters before which a text is not lower-cased here.
+TAIL = ".,;:!?"
+COMPOSED = re.compile("[^\\x00-\u024f]|\u0130")
 MAGIC, HEAD = b"QSRANS1\n", struct.Struct("<IQIIII")
 LOW = np.uint64(1 << 31)
 
 
 class Encoder:
-    """Texts to little-endian ids through the library, end id included."""
+    """Texts to little-endian ids through the library, end id included.
+
+    Pieces between spaces and line feeds are looked up; an unknown piece is its core and the punctuation behind it,
+    which the library always splits apart, and an unknown core is encoded. Where a text has only characters that
+    need no composing, it is lower-cased first, as the library would."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,24 +59,39 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.type).tobytes()
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.young) + len(pieces) > CACHE:
-            self.old, self.young = self.young, {"": b""}
-        self.young.update((p, self.old[p]) for p in pieces if p in self.old)
-        rest = [p for p in pieces if p not in self.young]
-        for p, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.young[p] = np.array(found.ids, self.type).tobytes()
+        self.pieces: dict[str, bytes] = {}
+        self.cores, self.old_cores = {"": b""}, {}
+
+    def _encoded(self, words: set[str]) -> None:
+        """Afterwards every word is in the younger generation."""
+        if len(self.cores) + len(words) > CORES:
+            self.old_cores, self.cores = self.cores, {"": b""}
+        rest = []
+        for w in words:
+            if w not in self.cores:
+                if w in self.old_cores:
+                    self.cores[w] = self.old_cores[w]
+                else:
+                    rest.append(w)
+        for w, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.cores[w] = np.array(found.ids, self.type).tobytes()
 
     def _part(self, text: str) -> bytes:
+        if not COMPOSED.search(text):
+            text = text.lower()
         pieces = text.replace("\n", " ").split(" ")
-        if missing := set(pieces).difference(self.young):
-            self._learn(missing)
-            if not all(map(self.young.__contains__, pieces)):
-                self._learn(set(pieces))
-        return b"".join(map(self.young.__getitem__, pieces))
+        own = set(pieces)
+        if missing := own.difference(self.pieces):
+            if len(self.pieces) + len(missing) > PIECES:
+                self.pieces.clear()
+                missing = own
+            split = {}
+            for p in missing:
+                core = p.rstrip(TAIL)
+                split[p] = (core, p[len(core) :]) if core and core[-1].isalnum() else (p, "")
+            self._encoded({w for both in split.values() for w in both})
+            self.pieces.update((p, self.cores[core] + self.cores[tail]) for p, (core, tail) in split.items())
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
         text, at, parts = text or "", 0, []
@@ -198,13 +220,14 @@ class Done(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
+    """Rows (row, doc_id, ids) in order of row; a file for each run of rows of one staged partition."""
+
     def __init__(self, options: dict[str, str]):
-        self.folder, self.tokenizer, self.end = options["path"], options["tokenizer"], int(options["end"])
+        self.folder, self.type = options["path"], np.dtype(options["id_width"])
 
     def write(self, iterator):
-        table, own = load_table(self.folder), encoder(self.tokenizer, self.end)
-        part, name, out = TaskContext.get().partitionId(), None, None
-        docs, sizes, ids, held, tokens, points, offset = [], [], [], 0, 0, [], len(MAGIC)
+        table, made, out = load_table(self.folder), [], None
+        docs, sizes, ids, held, tokens, points, offset, run, entry = [], [], [], 0, 0, [], 0, None, {}
 
         def flush():
             nonlocal docs, sizes, ids, held, tokens, offset
@@ -214,31 +237,38 @@ class TokenWriter(DataSourceArrowWriter):
             offset, tokens = offset + len(data), tokens + held
             docs, sizes, ids, held = [], [], [], 0
 
+        def close():
+            flush()
+            footer = json.dumps(points).encode()
+            out.write(footer + struct.pack("<I", len(footer)) + MAGIC)
+            out.close()
+            made.append(entry | {"tokens": tokens, "bytes": offset, "footer": len(footer) + 4 + len(MAGIC)})
+
         for batch in iterator:
-            for i, text in enumerate(batch.column(1)):
-                if out is None:
-                    name, out = files.create(self.folder, f"part-{part:06d}")
+            for i, (row, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                if run != row >> 33:
+                    if out is not None:
+                        close()
+                    run, points, offset, tokens = row >> 33, [], len(MAGIC), 0
+                    name, out = files.create(self.folder, f"part-{run:06d}")
+                    entry = {"first": row, "name": name}
                     out.write(MAGIC)
-                found = np.frombuffer(own.encode(text.as_py()), own.type)
+                found = np.frombuffer(raw.as_py(), self.type)
                 if held and held + len(found) > BLOCK:
                     flush()
-                docs.append(batch.column(0).slice(i, 1))
+                docs.append(batch.column(1).slice(i, 1))
                 sizes.append(len(found))
                 ids.append(found)
                 held += len(found)
-        if out is None:
-            return Done(None)
-        flush()
-        footer = json.dumps(points).encode()
-        out.write(footer + struct.pack("<I", len(footer)) + MAGIC)
-        out.close()
-        return Done({"part": part, "name": name, "tokens": tokens, "bytes": offset, "footer": len(footer) + 4 + len(MAGIC)})
+        if out is not None:
+            close()
+        return Done({"made": made})
 
     def commit(self, messages):
-        files.commit(self.folder, sorted((m.entry for m in messages if m and m.entry), key=lambda e: e["part"]))
+        files.commit(self.folder, sorted((e for m in messages if m for e in m.entry["made"]), key=lambda e: e["first"]))
 
     def abort(self, messages):
-        files.remove(self.folder, [m.entry["name"] for m in messages if m and m.entry])
+        files.remove(self.folder, [e["name"] for m in messages if m for e in m.entry["made"]])
 
 
 class Range(InputPartition):
@@ -280,7 +310,7 @@ class TokenReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """Options: path (folder URI), id_type (DDL of the id), view (ids or digest), for writing tokenizer and end."""
+    """Options: path (folder URI), id_type (DDL of the id), view (ids or digest), for writing id_width (of the given ids)."""
 
     @classmethod
     def name(cls):
@@ -297,20 +327,41 @@ class TokenFiles(DataSource):
         return TokenWriter(dict(self.options))
 
 
-def count(docs: DataFrame, tokenizer: str, end: int, text: str = "text") -> np.ndarray:
-    """Occurrences of each id in all documents; at most one number for each entry of the vocabulary is collected."""
+def stage(docs: DataFrame, folder: str, tokenizer: str, end: int, doc_id: str, text: str) -> DataFrame:
+    """(row, doc_id, ids as bytes) in ascending order of the documents, written to folder: texts are encoded once."""
+    order = ["doc_id", F.xxhash64("text")]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         own = encoder(tokenizer, end)
-        total = np.zeros(max(own.library.get_vocab_size(), end + 1), np.int64)
         for batch in batches:
-            for group in itertools.batched(batch.column(0).to_pylist(), 64):
-                total += np.bincount(np.frombuffer(b"".join(map(own.encode, group)), own.type), minlength=len(total))
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(own.encode, part.column(2).to_pylist()), pa.binary())], schema.names)
+
+    rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(schema).parquet(folder)
+
+
+def count(staged: DataFrame, kind: str) -> np.ndarray:
+    """Occurrences of each id in all documents; at most one number for each entry of the vocabulary is collected."""
+
+    def run(batches):
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                own = np.bincount(np.frombuffer(raw.as_py(), kind))
+                if len(own) > len(total):
+                    own[: len(total)] += total
+                    total = own.astype(np.int64)
+                else:
+                    total[: len(own)] += own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(max([end, *(r.id for r in rows)]) + 1, np.int64)
+    rows = staged.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(max([0, *(r.id for r in rows)]) + 1, np.int64)
     for r in rows:
         total[r.id] = r.n
     return total
@@ -320,10 +371,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, doc_id: str =
     """Encodes every text and writes the ids in ascending order of the documents."""
     spark = docs.sparkSession
     spark.dataSource.register(TokenFiles)
-    save_table(folder, scaled(count(docs, tokenizer, end, text)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.format("quillsift_tokens").mode("append").option("tokenizer", tokenizer).option("end", end).save(folder)
+    kind = Encoder(tokenizer, end).type.str
+    draft = shared_dir(spark, "token-stage")
+    staged = stage(docs, draft, tokenizer, end, doc_id, text)
+    save_table(folder, scaled(count(staged, kind)))
+    staged.write.format("quillsift_tokens").mode("append").option("id_width", kind).save(folder)
+    delete(spark, draft)
 
 
 def read(spark: SparkSession, folder: str, id_type: str = "long", view: str = "ids") -> DataFrame:
