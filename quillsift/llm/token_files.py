@@ -22,6 +22,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from .common import delete, id_field, shared_dir
 #: Bits of the frequency scale, most lanes, ids of a block, bytes of a reader's range.
 SCALE, LANES, BLOCK, RANGE = 20, 1024, 1 << 19, 32 << 20
 #: Remembered pieces, remembered cores in each of two generations, and characters that are split at once.
-PIECES, CORES, PIECE = 250_000, 400_000, 1 << 20
+PIECES, CORES, PIECE = 400_000, 500_000, 1 << 20
 #: Punctuation that is cut from the end of a piece; characters before which a text is not lower-cased here.
 TAIL = ".,;:!?"
 COMPOSED = re.compile("[^\\x00-\u024f]|\u0130")
@@ -46,52 +47,54 @@ MAGIC, HEAD = b"QSRANS1\n", struct.Struct("<IQIIII")
 LOW = np.uint64(1 << 31)
 
 
+class Pieces(dict):
+    """Pieces to their ids; an unknown piece is its core and the punctuation behind it, which the library always
+    splits apart, and an unknown core is encoded."""
+
+    def __init__(self, library: Tokenizer, code: str):
+        self.library, self.code, self.cores, self.old = library, code, {"": b""}, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(TAIL)
+        if core and core[-1].isalnum():
+            found = self._core(core) + (self._core(piece[len(core) :]) if len(core) < len(piece) else b"")
+        else:
+            found = self._core(piece)
+        self[piece] = found
+        return found
+
+    def _core(self, word: str) -> bytes:
+        found = self.cores.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = array(self.code, self.library.encode(word, add_special_tokens=False).ids).tobytes()
+            if len(self.cores) > CORES:
+                self.old, self.cores = self.cores, {"": b""}
+            self.cores[word] = found
+        return found
+
+
 class Encoder:
-    """Texts to little-endian ids through the library, end id included.
+    """Texts to ids in the machine's byte order through the library, end id included.
 
-    Pieces between spaces and line feeds are looked up; an unknown piece is its core and the punctuation behind it,
-    which the library always splits apart, and an unknown core is encoded. Where a text has only characters that
-    need no composing, it is lower-cased first, as the library would."""
+    Pieces between spaces and line feeds are looked up. Where a text has only characters that need no composing,
+    it is lower-cased first, as the library would."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.type = np.dtype("u2" if self.library.get_vocab_size() <= 1 << 16 else "u4")
         self.end = np.array([end], self.type).tobytes()
-        self.pieces: dict[str, bytes] = {}
-        self.cores, self.old_cores = {"": b""}, {}
-
-    def _encoded(self, words: set[str]) -> None:
-        """Afterwards every word is in the younger generation."""
-        if len(self.cores) + len(words) > CORES:
-            self.old_cores, self.cores = self.cores, {"": b""}
-        rest = []
-        for w in words:
-            if w not in self.cores:
-                if w in self.old_cores:
-                    self.cores[w] = self.old_cores[w]
-                else:
-                    rest.append(w)
-        for w, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.cores[w] = np.array(found.ids, self.type).tobytes()
+        self.pieces = Pieces(self.library, "H" if self.type.itemsize == 2 else "I")
 
     def _part(self, text: str) -> bytes:
-        if not COMPOSED.search(text):
+        if text.isascii() or not COMPOSED.search(text):
             text = text.lower()
-        pieces = text.replace("\n", " ").split(" ")
-        own = set(pieces)
-        if missing := own.difference(self.pieces):
-            if len(self.pieces) + len(missing) > PIECES:
-                self.pieces.clear()
-                missing = own
-            split = {}
-            for p in missing:
-                core = p.rstrip(TAIL)
-                split[p] = (core, p[len(core) :]) if core and core[-1].isalnum() else (p, "")
-            self._encoded({w for both in split.values() for w in both})
-            self.pieces.update((p, self.cores[core] + self.cores[tail]) for p, (core, tail) in split.items())
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(self, text: str | None) -> bytes:
         text, at, parts = text or "", 0, []
