@@ -158,14 +158,20 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets."""
-    body = _name(text)
-    found = cut(seeds(docs.select(text), text, []).where("size(_base) + size(_cands) > 0").dropDuplicates(["_key"]), "pii")
-    spans = _both(found, discover(docs, text, found)).where("size(_all) > 0").select(F.col("_key").alias("_pii_key"), F.expr("array_sort(transform(_all, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))").alias("_pii_spans"))
+    """docs with every span replaced by its kind in brackets.
+
+    Seeds are found again in the row that is redacted, so that texts are joined with nothing but the spans that
+    were discovered, which are few, and are not shuffled unless these are many."""
+    # written before it is filtered: a filter on spans would be pushed down and find them a second time
+    found = cut(seeds(docs.select(text), text, []), "pii").where("size(_cands) > 0").dropDuplicates(["_key"])
+    added = discover(docs, text, found)
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    body = plain[docs.columns.index(text)]
+    rows = _both(seeds(docs.toDF(*plain), body, plain), added)
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    pieces = f"""aggregate(_pii_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+    pieces = f"""aggregate(array_sort(transform(_all, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))), named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> CASE WHEN x.s >= a.at THEN named_struct('at', x.e, 'out', concat(a.out, array(substr({body}, a.at + 1, x.s - a.at), {names}[x.k])))
         ELSE named_struct('at', greatest(a.at, x.e), 'out', a.out) END,
         a -> concat(array_join(a.out, ''), substr({body}, a.at + 1)))"""
-    joined = docs.withColumn("_pii_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(spans, "_pii_key", "left")
-    return joined.withColumn(text, F.when(F.col("_pii_spans").isNull(), F.col(text)).otherwise(F.expr(pieces))).select(*docs.columns)
+    rows = rows.withColumn(body, F.expr(f"CASE WHEN size(_all) > 0 THEN {pieces} ELSE {body} END"))
+    return rows.select(*plain).toDF(*docs.columns)

@@ -57,6 +57,8 @@ def test_contexts_find_unseen_identifiers_and_leave_others(spark):
     at = docs[6].index("someone")
     assert spans[6] == f"email:{at}:{at + 19}"[: len(spans[6])] and spans[6].startswith(f"email:{at}:")
     assert spans[8].startswith("email:6:") and spans[7] == "" and spans[9] == ""
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[6] == "please reach me at: [EMAIL] now" and clean[7] == docs[7] and clean[0] == "word here reach me at: [EMAIL] today"
 
 
 def test_redacted_text_keeps_columns_rows_and_clean_texts(spark):
