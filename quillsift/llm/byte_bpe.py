@@ -174,6 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             ids = list(own.encode(batch.column(at).to_pylist()))
             arrays = [pa.array(ids, pa.list_(pa.int32()))] + ([pa.array(map(own.decode, ids), pa.binary())] if decoded else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(f.name for f in fields)])
+        own.cache.clear()  # the worker goes on to other stages
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
