@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillsift.llm import byte_bpe, decontaminate, langid, pii, simhash
+from quillsift.llm import byte_bpe, decontaminate, langid, pii, resemblance
 from quillsift.llm.common import read, shared_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,8 +21,8 @@ def language(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """One document of each group whose fingerprints are linked."""
-    return simhash.one_of_each(docs)
+    """One document of each group whose fingerprints are linked, or whose five-word similarity is 0.8 or more."""
+    return resemblance.one_of_each(docs)
 
 
 def benchmark(spark, docs, sf_dir):

@@ -223,23 +223,31 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return of_fingerprints(cut(fingerprints(docs, doc_id, text, words), "simhash"), doc_id, radius, blocks)
 
 
-def of_fingerprints(fps: DataFrame, doc_id: str, radius: int = 3, blocks: int = 2) -> DataFrame:
-    """components() over a table (doc_id, fp)."""
+def labels(fps: DataFrame, doc_id: str, radius: int = 3, blocks: int = 2) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of a table (doc_id, fp)."""
     least = cut(fps.groupBy("fp").agg(F.min(doc_id).alias("rep")), "simhash")
     star = stars(links(least, radius, blocks).select("u", "v"), "simhash")
     members = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     named = members.join(least, "fp")
     moved = named.join(named.groupBy("root").agg(F.min("rep").alias("moved")), "root").select("fp", "moved")
-    final = least.join(moved, "fp", "left").select("fp", F.coalesce("moved", "rep").alias("component_id"))
-    return fps.join(final, "fp").select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return least.join(moved, "fp", "left").select("fp", F.coalesce("moved", "rep").alias("component_id"))
+
+
+def of_fingerprints(fps: DataFrame, doc_id: str, radius: int = 3, blocks: int = 2) -> DataFrame:
+    """components() over a table (doc_id, fp)."""
+    return fps.join(labels(fps, doc_id, radius, blocks), "fp").select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """docs with the row of the smallest id of each component. Rows of one id are one document and one of them stays;
     a row without an id cannot stand for a group or be named by one, and stays."""
-    found = cut(components(docs.where(F.col(doc_id).isNotNull()), doc_id, text, words, radius), "simhash")
-    kept = found.where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count()
-    stay = docs.join(kept.select(doc_id), doc_id, "left_semi")
+    return kept(docs, cut(components(docs.where(F.col(doc_id).isNotNull()), doc_id, text, words, radius), "simhash"), doc_id)
+
+
+def kept(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """docs without the rows whose id is not its component's (found: doc_id, component_id), one row for each id, and rows without an id."""
+    first = found.where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count()
+    stay = docs.join(first.select(doc_id), doc_id, "left_semi")
     repeated = found.groupBy(doc_id).count().where("count > 1").select(doc_id)
     if not repeated.isEmpty():
         again = stay.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])
