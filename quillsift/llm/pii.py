@@ -8,7 +8,7 @@ how many different known instances follow it; patterns above both thresholds mak
 them known instances of the pattern's kind, and the next round starts from these. Spans of unseen identifiers
 are added to the seeds, which always stay.
 
-Occurrences are counted in the documents that hold an identifier-like token. Expressions cannot backtrack
+Occurrences are counted in the distinct texts that hold an identifier-like token, and so are mentions. Expressions cannot backtrack
 over long runs: their loops are possessive, and a run of characters is entered only at its start or where the
 match before ended, which leaves the leftmost matches as they are.
 
@@ -103,6 +103,15 @@ def mentions(found: DataFrame) -> DataFrame:
     return rows.select("_key", start.alias("s"), (start + F.length("inst")).alias("e"), "inst", F.expr("b.k").alias("kind"), patterns.alias("patterns"))
 
 
+def _totals(docs: DataFrame, text: str, wide: DataFrame) -> DataFrame:
+    """(pattern, total): how often the patterns in wide occur in distinct texts; texts are not shuffled to find their copies."""
+    words = docs.where(F.col(text).rlike("[0-9@]")).select(F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("_key"), F.expr(f"regexp_extract_all(lower({_name(text)}), r'\\S+', 0)").alias("t"))
+    ones = words.select("row", "_key", F.explode(F.expr("slice(t, 1, greatest(size(t) - 1, 0))")).alias("pattern"))
+    twos = words.select("row", "_key", F.explode(F.expr("CASE WHEN size(t) > 2 THEN transform(sequence(0, size(t) - 3), i -> concat(t[i], ' ', t[i + 1])) END")).alias("pattern"))
+    by_row = ones.unionByName(twos).join(wide, "pattern", "left_semi").groupBy("row", "_key", "pattern").agg(F.count("*").alias("n"))
+    return by_row.groupBy("_key", "pattern").agg(F.max("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("total"))
+
+
 def discover(docs: DataFrame, text: str, found: DataFrame) -> DataFrame | None:
     """(_key, added: array of kind number, start, end) of texts with unseen identifiers; None if there are none."""
     all_of = cut(mentions(found), "pii")
@@ -112,10 +121,7 @@ def discover(docs: DataFrame, text: str, found: DataFrame) -> DataFrame | None:
     wide = cut(edges.groupBy("pattern").agg(F.count("*").alias("i"), F.count("kind").alias("seeds")).where((F.col("i") >= SUPPORT) & (F.col("seeds") >= 1)).select("pattern"), "pii")
     if wide.isEmpty():
         return None
-    words = docs.where(F.col(text).rlike("[0-9@]")).select(F.expr(f"regexp_extract_all(lower({_name(text)}), r'\\S+', 0)").alias("t"))
-    ones = words.select(F.explode(F.expr("slice(t, 1, greatest(size(t) - 1, 0))")).alias("pattern"))
-    twos = words.select(F.explode(F.expr("CASE WHEN size(t) > 2 THEN transform(sequence(0, size(t) - 3), i -> concat(t[i], ' ', t[i + 1])) END")).alias("pattern"))
-    total = cut(ones.unionByName(twos).join(wide, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total")), "pii")
+    total = cut(_totals(docs, text, wide), "pii")
     edges = edges.join(wide, "pattern", "left_semi")
     known, good = None, None
     for _ in range(ROUNDS):
@@ -163,7 +169,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Seeds are found again in the row that is redacted, so that texts are joined with nothing but the spans that
     were discovered, which are few, and are not shuffled unless these are many."""
     # written before it is filtered: a filter on spans would be pushed down and find them a second time
-    found = cut(seeds(docs.select(text), text, []), "pii").where("size(_cands) > 0").dropDuplicates(["_key"])
+    found = cut(seeds(docs.select(text), text, []), "pii")
     added = discover(docs, text, found)
     plain = [f"c{i}" for i in range(len(docs.columns))]
     body = plain[docs.columns.index(text)]

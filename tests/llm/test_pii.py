@@ -67,3 +67,13 @@ def test_redacted_text_keeps_columns_rows_and_clean_texts(spark):
     got = pii.redact(df)
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == [(1, "mail [EMAIL] or [PHONE], ok"), (2, "clean 12 text"), (3, None), (4, "𝄞 [EMAIL]"), (4, "𝄞 [EMAIL]")]
+
+
+def test_copies_of_a_text_do_not_weaken_its_contexts(spark):
+    docs = [f"word here reach me at: user{i}@mail{i}.example.org today" for i in range(6) for _ in range(1000)]
+    docs += ["please reach me at: someone4711[at]mail now"] * 3 + ["the year 2024 was long"] * 1000
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert all(spans[i].startswith("email:20:") for i in range(6000, 6003)) and spans[6003] == ""
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[6002] == "please reach me at: [EMAIL] now" and clean[6003] == docs[6003]
