@@ -5,7 +5,7 @@ and two words before a seed are lexical patterns; tokens that look like identifi
 sign) are instances, patterns and instances are the two sides of a graph with an edge for each mention. In
 each round a pattern is scored by the share of its occurrences that are followed by a known instance and by
 how many different known instances follow it; patterns above both thresholds make the identifiers that follow
-them known instances of the pattern's kind, and the next round starts from these. Spans of unseen identifiers
+them known instances of the pattern's kind, and the next round starts from these, until a round finds no new one. Spans of unseen identifiers
 are added to the seeds, which always stay.
 
 Occurrences are counted in the distinct texts that hold an identifier-like token, and so are mentions. Expressions cannot backtrack
@@ -36,8 +36,8 @@ EXPRESSIONS = {
 #: What a text must hold before its expression is tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Rounds; known instances that a pattern needs; share of its occurrences that known instances must follow.
-ROUNDS, SUPPORT, CONFIDENCE = 2, 3, 0.5
+#: Known instances that a pattern needs; share of its occurrences that known instances must follow.
+SUPPORT, CONFIDENCE = 3, 0.5
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -118,22 +118,29 @@ def discover(docs: DataFrame, text: str, found: DataFrame) -> DataFrame | None:
     edges = cut(all_of.select("inst", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "inst", "kind").agg(F.count("*").alias("n")), "pii")
     if all_of.where("kind IS NULL").isEmpty():
         return None
-    wide = cut(edges.groupBy("pattern").agg(F.count("*").alias("i"), F.count("kind").alias("seeds")).where((F.col("i") >= SUPPORT) & (F.col("seeds") >= 1)).select("pattern"), "pii")
-    if wide.isEmpty():
-        return None
-    total = cut(_totals(docs, text, wide), "pii")
-    edges = edges.join(wide, "pattern", "left_semi")
-    known, good = None, None
-    for _ in range(ROUNDS):
+    known, total, size = None, None, 0
+    while True:
         now = edges if known is None else edges.join(known, "inst", "left").withColumn("kind", F.coalesce("kind", "learned")).drop("learned")
         # the edges of one pattern and instance have one row for each seed kind, so counts of rows are counts of instances
         by_kind = now.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("hits"))
         best = by_kind.groupBy("pattern").agg(F.max_by("kind", F.struct("support", -F.col("kind"))).alias("learned"), F.sum("support").alias("support"), F.sum("hits").alias("hits"))
-        good = best.join(total, "pattern").where((F.col("support") >= SUPPORT) & (F.col("hits") >= CONFIDENCE * F.col("total"))).select("pattern", "learned", (F.col("hits") / F.col("total") * F.log2(F.col("support") + 1)).alias("score"))
+        best = cut(best.where(F.col("support") >= SUPPORT), "pii")
+        fresh = best.select("pattern") if total is None else cut(best.select("pattern").join(total, "pattern", "left_anti"), "pii")
+        if not fresh.isEmpty():
+            # a pattern without a total keeps a null, so that it is not looked for again
+            more = fresh.join(_totals(docs, text, fresh), "pattern", "left")
+            total = cut(more if total is None else total.unionByName(more), "pii")
+        if total is None:
+            return None
+        good = best.join(total, "pattern").where(F.col("hits") >= CONFIDENCE * F.col("total")).select("pattern", "learned", (F.col("hits") / F.col("total") * F.log2(F.col("support") + 1)).alias("score"))
         new = edges.where("kind IS NULL").join(good, "pattern").groupBy("inst").agg(F.max_by("learned", F.struct("score", -F.col("learned"))).alias("learned"))
         known = cut(new, "pii")
-        if known.isEmpty():
-            return None
+        # known instances never become unknown, so the same number is the same set
+        was, size = size, known.count()
+        if size == was:
+            break
+    if not size:
+        return None
     spans = all_of.where("kind IS NULL").join(known, "inst").select("_key", F.struct(F.col("learned").alias("k"), "s", "e").alias("x"))
     return cut(spans.groupBy("_key").agg(F.collect_set("x").alias("added")), "pii")
 

@@ -77,3 +77,14 @@ def test_copies_of_a_text_do_not_weaken_its_contexts(spark):
     assert all(spans[i].startswith("email:20:") for i in range(6000, 6003)) and spans[6003] == ""
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[6002] == "please reach me at: [EMAIL] now" and clean[6003] == docs[6003]
+
+
+def test_learned_identifiers_teach_further_contexts(spark):
+    mail = [f"u{i}@m{i}.example.org" for i in range(3)]
+    hops = [[f"{c}{i}4711[at]mail" for i in range(3)] for c in "xyz"]
+    contexts = ["reach me at:", "write letters to:", "ask kindly for:", "never mind about:"]
+    docs = [f"{c} {inst} today" for c, known, new in zip(contexts, [mail, *hops], [*hops, ["w4711[at]mail"]], strict=True) for inst in known + new]
+    docs += ["the year 2024 was long", "the year 2025 was long", "the year 2026 was long"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert [i for i in spans if not spans[i].startswith("email:")] == [i for i, d in enumerate(docs) if d.startswith("the year")]
