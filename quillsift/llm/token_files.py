@@ -7,8 +7,9 @@ starts with its lane states, document index and checksum; the footer lists the c
 before), so any block can be decoded alone and readers share a file by byte ranges. Writers commit through a
 manifest: files of failed attempts are never read.
 
-Encoding uses the tokenizers library on distinct pieces between spaces and line feeds, which its
-normalisation and splitting never join, and remembers them.
+Encoding uses the tokenizers library as loaded, special tokens in a text included. Where its file normalises by
+NFC, white space to spaces and lower case and splits between letters and punctuation, distinct pieces between spaces
+and line feeds, which such a file never joins, are encoded once and remembered; any other file encodes whole texts.
 
 Defined results: a null or empty text has only the end id; documents of equal id follow each other in the
 order of a hash of their texts; null ids come first; an empty table gives no rows. Only id and text are used.
@@ -21,6 +22,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
 
@@ -43,20 +45,23 @@ PIECES, CORES, PIECE = 400_000, 500_000, 1 << 20
 #: Punctuation that is cut from the end of a piece; characters before which a text is not lower-cased here.
 TAIL = ".,;:!?"
 COMPOSED = re.compile("[^\\x00-\u024f]|\u0130")
+#: A letter or digit that stays one, alone, in NFC and in lower case, so that punctuation behind it is split from it.
+PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and unicodedata.category(c.lower())[0] in "LN")
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 MAGIC, HEAD = b"QSRANS1\n", struct.Struct("<IQIIII")
 LOW = np.uint64(1 << 31)
 
 
 class Pieces(dict):
-    """Pieces to their ids; an unknown piece is its core and the punctuation behind it, which the library always
-    splits apart, and an unknown core is encoded."""
+    """Pieces to their ids; an unknown piece whose core ends in a PLAIN character is the core and the punctuation
+    behind it, which the library always splits apart; any other unknown piece is encoded whole."""
 
     def __init__(self, library: Tokenizer, code: str):
         self.library, self.code, self.cores, self.old = library, code, {"": b""}, {}
 
     def __missing__(self, piece: str) -> bytes:
         core = piece.rstrip(TAIL)
-        if core and core[-1].isalnum():
+        if core and core[-1] in PLAIN:
             found = self._core(core) + (self._core(piece[len(core) :]) if len(core) < len(piece) else b"")
         else:
             found = self._core(piece)
@@ -79,19 +84,27 @@ class Encoder:
     """Texts to ids in the machine's byte order through the library, end id included.
 
     Pieces between spaces and line feeds are looked up. Where a text has only characters that need no composing,
-    it is lower-cased first, as the library would."""
+    it is lower-cased first, as the library would, unless that makes a special token."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        parts = json.loads(self.library.to_str(pretty=False))
+        split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "")
+        self.special = [t["content"] for t in parts["added_tokens"]]
+        self.by_piece = (parts["normalizer"] or {}).get("normalizers") == NORMALIZERS and split.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.by_piece &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"[ \n]|[.,;:!?]$", t["content"]) for t in parts["added_tokens"])
         self.type = np.dtype("u2" if self.library.get_vocab_size() <= 1 << 16 else "u4")
         self.end = np.array([end], self.type).tobytes()
         self.pieces = Pieces(self.library, "H" if self.type.itemsize == 2 else "I")
 
     def _part(self, text: str) -> bytes:
+        if not self.by_piece:
+            return array(self.pieces.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if text.isascii() or not COMPOSED.search(text):
-            text = text.lower()
+            low = text.lower()
+            if not any(t in low for t in self.special):
+                text = low
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
@@ -99,7 +112,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         text, at, parts = text or "", 0, []
         while at < len(text):
-            stop = text.find(" ", at + PIECE)
+            stop = text.find(" ", at + PIECE) if self.by_piece else -1
             stop = len(text) if stop < 0 else stop
             parts.append(self._part(text[at:stop]))
             at = stop

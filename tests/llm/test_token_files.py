@@ -13,9 +13,7 @@ ODD = [None, "", " ", "\n\n", "a b", "A  b\nC", "don't é́ ́x", "\x1c x\x85y\x
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def texts():
@@ -23,6 +21,39 @@ def texts():
     return ODD + [" ".join(r.choice(["the", "of", "Zug", "é", "x.", "12", "\n", ""]) for _ in range(r.randint(0, 300))) for _ in range(120)]
 
 
+def equal_to_library(texts):
+    own, lib = token_files.encoder(PATH, 2), library()
+    for text, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(text), own.type).tolist() == [*e.ids, 2], ascii(text)
+
+
+def test_every_character_beside_every_mark_gives_the_library_s_ids():
+    """Each code point before and after the punctuation that pieces are cut at, and alone between letters."""
+    points = [chr(c) for c in (*range(0x0, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800, 7), *range(0x1F300, 0x1F700, 5))]
+    shapes = ["{c}.", "ac{c}.b", "{c} x", "a{c}:;!?,", ".{c}"]
+    for at in range(0, len(points), 20_000):
+        for shape in shapes:
+            equal_to_library([shape.replace("{c}", c) for c in points[at : at + 20_000]])
+
+
+def test_random_texts_give_the_library_s_ids():
+    r = random.Random(12)
+    odd = ["İ", "é", "e\u0301", "\u0958", "क़", "Σ", "ς", "ﬁ", "ß", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>.", "'s", "'LL", ".", "...", ",", "!", "?!", ":", ";", " ", "  ", "\n", "\t", "\u00a0", "\u200b", "\u0307", "日本", "٣", "½", "²", "x", "Abc", "12", "🙂", "\x00", "_", "-"]
+    equal_to_library(["".join(r.choice(odd) for _ in range(r.randint(1, 12))) for _ in range(30_000)])
+
+
+def test_a_file_of_another_kind_encodes_whole_texts(tmp_path):
+    import json
+
+    parts = json.load(open(PATH))
+    parts["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(parts))
+    own, lib = token_files.Encoder(str(path), 2), Tokenizer.from_file(str(path))
+    for text in ("The End. Of", "İ... x", "a  b\nC"):
+        assert np.frombuffer(own.encode(text), own.type).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 2]
+
+
 @pytest.mark.parametrize("lanes,n", [(1024, 1), (1024, 70_000), (4, 1000), (7, 1001)])
 def test_coder_round_trip(monkeypatch, lanes, n):
     monkeypatch.setattr(token_files, "LANES", lanes)
