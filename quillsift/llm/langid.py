@@ -153,12 +153,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def sample(batches):
         for batch in batches:
-            found = [counts(body) for body in batch.column(2).to_pylist()]
-            at = [np.flatnonzero(x) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([x[a].astype(np.int32).tobytes() for x, a in zip(found, at, strict=True)], pa.binary())],
-                ["label", "key", "at", "n"],
-            )
+            found, n = [], []
+            for body in batch.column(2):
+                own = counts(body.as_py())
+                found.append(np.flatnonzero(own).astype(np.int32))
+                n.append(own[found[-1]].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a in found], pa.binary()), pa.array(n, pa.binary())], ["label", "key", "at", "n"])
 
     rows = known.where(chosen).limit(2 * max(ROWS, len(labels))).mapInArrow(sample, "label string, key long, at binary, n binary").collect()
     taken, train, logits, truth, aside = dict.fromkeys(labels, 0), [], [], [], []
