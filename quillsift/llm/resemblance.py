@@ -1,20 +1,27 @@
 """Near copies by fingerprints and by the similarity of five-word shingles.
 
 Documents are linked if their fingerprints are (simhash.py), or if the sets of their five-word shingles have a
-Jaccard similarity of at least LEAST. Candidates for the second share one of BANDS bands of ROWS min-hashes each: a
-pair at exactly 0.8 shares one with probability 0.999997. Every candidate pair whose documents are not linked yet is
-compared by its whole sets; none is taken by estimate, and no bucket is cut. First the least and the greatest document
-of each bucket are compared with the others, so that a crowd of near copies becomes one component by as many pairs as
-it has documents; then all pairs of a bucket that still lie in different components.
+Jaccard similarity of at least LEAST. Candidates for the second share a shingle of their prefixes: shingles are put
+in one order for the whole corpus, rare ones first, and two sets of n shingles can only be that similar if they
+share one of the first n - ceil(LEAST * n) + 1, at places that leave room for the rest. This loses no pair, and a
+passage that many documents share does not make candidates of them, for it stands at the end of every order.
+Rareness is read from a table of SLOTS counts; it decides the number of candidates, not the result.
+
+Every candidate pair whose documents are not linked yet is compared by its whole sets; none is taken by estimate, and
+no bucket is cut. First the least and the greatest document of each bucket are compared with the others, so that a
+crowd of near copies becomes one component by as many pairs as it has documents; then all pairs of a bucket that
+still lie in different components.
 
 Defined results: texts of the same words are one text; fewer words than a shingle are one shingle; null and empty
-texts, and texts without words, are linked by fingerprint zero alone. Rows of one id are one document and one of them
-stays; rows without an id stay.
+texts, and texts without words, are linked by fingerprint zero alone; a very long text has a prefix in proportion.
+Rows of one id are one document and one of them stays; rows without an id stay; an empty table stays empty. Columns
+besides id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +34,10 @@ from . import simhash
 from .common import cut, id_field
 from .components import stars
 
-#: Words of a shingle, least similarity, min-hashes of a band, bands, shingles that are hashed at once.
-WORDS, LEAST, ROWS, BANDS, STEP = 5, 0.8, 5, 32, 512
-FACTORS = np.random.default_rng(11).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of a shingle, least similarity, counts by which shingles are ordered.
+WORDS, LEAST, SLOTS = 5, 0.8, 1 << 20
+#: Rows whose results are held at once.
+STEP = 256
 
 
 def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -51,15 +59,34 @@ def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A key for each band of min-hashes; none without shingles."""
+def needed(n: int) -> int:
+    """The least number of shingles that a set of n shares with one that is similar enough."""
+    return math.ceil(LEAST * n - 1e-9)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which a similar set must share one, rare ones first."""
     if not len(hashes):
-        return []
-    least = np.full(len(FACTORS), 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), STEP):
-        np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + STEP]).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+        return hashes
+    rank = counts[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+    return hashes[np.lexsort((hashes, rank))[: len(hashes) - needed(len(hashes)) + 1]]
+
+
+def rareness(docs: DataFrame, text: str) -> np.ndarray:
+    """How often the shingles of each slot occur; SLOTS numbers, whatever the corpus. A task sends on what it saw twice."""
+
+    def run(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                seen += np.bincount((shingles(x.as_py()) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(seen > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["slot", "n"])
+
+    found = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.uint32)
+    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    return counts
 
 
 def word_key(raw: bytes | None) -> int:
@@ -71,18 +98,19 @@ def word_key(raw: bytes | None) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, fp, key of the words, number of distinct shingles, band keys)."""
-    schema = T.StructType([id_field(docs, doc_id), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(doc_id, fp, key of the words, number of distinct shingles, prefix)."""
+    schema = T.StructType([id_field(docs, doc_id), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    sent = docs.sparkSession.sparkContext.broadcast(rareness(docs, text))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                raw = x.as_py()
-                own = shingles(raw)
-                out.append((np.uint64(simhash.fingerprint(raw, words)).view(np.int64).item(), word_key(raw), len(own), bands(own)))
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], schema.names)
+            for at in range(0, len(batch), STEP):
+                part, out = batch.slice(at, STEP), []
+                for x in part.column(1):
+                    raw = x.as_py()
+                    own = shingles(raw)
+                    out.append((np.uint64(simhash.fingerprint(raw, words)).view(np.int64).item(), word_key(raw), len(own), prefix(own, sent.value).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], schema.names)
 
     return docs.select(F.col(doc_id), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
@@ -90,8 +118,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
 def _sets(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            raws = [x.as_py() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([word_key(r) for r in raws], pa.int64()), pa.array([shingles(r).tobytes() for r in raws], pa.binary())], ["key", "own"])
+            for at in range(0, len(batch), STEP):
+                raws = [x.as_py() for x in batch.column(0).slice(at, STEP)]
+                yield pa.RecordBatch.from_arrays([pa.array([word_key(r) for r in raws], pa.int64()), pa.array([shingles(r).tobytes() for r in raws], pa.binary())], ["key", "own"])
 
     return docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, "key long, own binary").dropDuplicates(["key"])
 
@@ -115,37 +144,39 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _apart(live: DataFrame) -> DataFrame:
     """The entries of buckets that hold more than one component."""
-    mixed = live.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    return cut(live.join(mixed, "band"), "resemblance")
+    mixed = live.groupBy("shared").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shared")
+    return cut(live.join(mixed, "shared"), "resemblance")
 
 
 def labels(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) -> DataFrame:
     """(doc_id, component_id) of rows with an id: the smallest id that links reach."""
     signed = cut(signatures(docs, doc_id, text, words), "resemblance")
     named = cut(simhash.labels(signed.select(doc_id, "fp"), doc_id, radius), "resemblance")
-    texts = signed.where("n > 0").groupBy("key").agg(F.min(doc_id).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = signed.where("n > 0").groupBy("key").agg(F.min(doc_id).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = cut(texts.join(named.withColumnRenamed("component_id", "root"), "fp").drop("fp"), "resemblance")
-    live = _apart(nodes.select("key", "root", "n", F.explode("bands").alias("band")))
+    live = _apart(nodes.select("key", "root", "n", F.posexplode("prefix").alias("at", "shared")))
     if live.isEmpty():
-        return signed.select(doc_id, "fp").join(named, "fp").drop("fp")
+        return simhash.by_fingerprint(signed.select(doc_id, "fp"), named)
     reps = live.select("key").distinct().join(nodes.select("key", "rep"), "key").select(F.col("rep").alias(doc_id)).distinct()
     sets = cut(_sets(docs.join(reps, doc_id, "left_semi"), text), "resemblance")
-    near = (F.least("n", "m") >= LEAST * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
+    # what two sets share is at most what follows the first shared shingle in either, itself included
+    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) * (1 + LEAST) + 1e-6 >= LEAST * (F.col("n") + F.col("m"))
+    near = room & (F.least("n", "m") >= LEAST * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
     for chosen in (F.min, F.max, None):
-        second = live.select("band", F.col("key").alias("b"), F.col("root").alias("v"), F.col("n").alias("m"))
+        second = live.select("shared", F.col("key").alias("b"), F.col("root").alias("v"), F.col("n").alias("m"), F.col("at").alias("place"))
         if chosen is None:
-            first = live.select("band", F.col("key").alias("a"), F.col("root").alias("u"), "n")
-            pairs = first.join(second, "band").where(near & (F.col("u") < F.col("v")))
+            first = live.select("shared", F.col("key").alias("a"), F.col("root").alias("u"), "n", "at")
+            pairs = first.join(second, "shared").where(near & (F.col("u") < F.col("v")))
         else:
-            first = live.groupBy("band").agg(chosen(F.struct("key", "root", "n")).alias("x")).select("band", F.col("x.key").alias("a"), F.col("x.root").alias("u"), F.col("x.n").alias("n"))
-            pairs = second.join(first, "band").where(near)
+            first = live.groupBy("shared").agg(chosen(F.struct("key", "root", "n", "at")).alias("x")).select("shared", F.col("x.key").alias("a"), F.col("x.root").alias("u"), F.col("x.n").alias("n"), F.col("x.at").alias("at"))
+            pairs = second.join(first, "shared").where(near)
         star = stars(cut(_similar(pairs.select("a", "b", "u", "v").distinct(), sets), "resemblance"), "resemblance")
         if star.isEmpty():
             continue
         moved = star.toDF("old", "new")
         named = cut(named.join(moved, F.col("component_id") == F.col("old"), "left").select("fp", F.coalesce("new", "component_id").alias("component_id")), "resemblance")
-        live = _apart(live.join(moved, F.col("root") == F.col("old"), "left").select("key", F.coalesce("new", "root").alias("root"), "n", "band"))
-    return signed.select(doc_id, "fp").join(named, "fp").drop("fp")
+        live = _apart(live.join(moved, F.col("root") == F.col("old"), "left").select("key", F.coalesce("new", "root").alias("root"), "n", "at", "shared"))
+    return simhash.by_fingerprint(signed.select(doc_id, "fp"), named)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

@@ -33,6 +33,8 @@ from .components import stars
 
 #: Distinct fingerprints that a shard should hold, the least and greatest depth of the tree over shards, the sample for it.
 LEAF, LEAST_DEPTH, MOST_DEPTH, SAMPLE = 200_000, 4, 18, 32_768
+#: A fingerprint of more than a CROWD-th of the rows is a crowd.
+CROWD = 1000
 #: Comparisons made at once at the end of a branch, and bytes of a text that are split into words at once.
 COMPARE, BLOCK = 1 << 20, 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -235,7 +237,20 @@ def labels(fps: DataFrame, doc_id: str, radius: int = 3, blocks: int = 2) -> Dat
 
 def of_fingerprints(fps: DataFrame, doc_id: str, radius: int = 3, blocks: int = 2) -> DataFrame:
     """components() over a table (doc_id, fp)."""
-    return fps.join(labels(fps, doc_id, radius, blocks), "fp").select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return by_fingerprint(fps, labels(fps, doc_id, radius, blocks), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
+
+
+def by_fingerprint(fps: DataFrame, named: DataFrame, *more) -> DataFrame:
+    """(doc_id, more, component_id) of rows (doc_id, fp), by a table (fp, component_id) of distinct fingerprints.
+
+    Fingerprints that more than a CROWD-th of the rows share, of which there are fewer than CROWD, are looked up in a
+    broadcast, so that a crowd of copies is not one key of a shuffle."""
+    doc_id = fps.columns[0]
+    total = fps.count()
+    crowds = fps.groupBy("fp").count().where(F.col("count") * CROWD > total).select("fp")
+    crowds = F.broadcast(cut(named.join(F.broadcast(crowds), "fp"), "simhash"))
+    rest = fps.join(crowds, "fp", "left_anti").join(named, "fp")
+    return fps.join(crowds, "fp").unionByName(rest).select(doc_id, *more, "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quillsift.llm import resemblance as rs
 from quillsift.llm import simhash
@@ -56,3 +58,32 @@ def test_a_crowd_and_its_neighbours(spark):
     rows += [("e", " ".join(base[:110] + ["y"] * 90)), ("f", rows[7][1])]
     df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
     assert sorted(r.doc_id for r in rs.one_of_each(df).collect()) == ["d000", "e"]
+
+
+def test_prefixes_lose_no_pair_under_any_order():
+    r = random.Random(8)
+    hashes = [r.getrandbits(64) for _ in range(90)]
+    for trial in range(400):
+        rng = np.random.default_rng(trial)
+        counts = rng.integers(0, 4, rs.SLOTS).astype(np.uint32)
+        n = r.randint(1, 60)
+        a = set(r.sample(hashes, n))
+        b = set(a)
+        for _ in range(r.randint(0, 1 + n // 5)):
+            b.add(r.choice(hashes)) if r.random() < 0.5 or len(b) == 1 else b.remove(r.choice(sorted(b)))
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        p, q = (rs.prefix(np.array(sorted(x), np.uint64), counts).tolist() for x in (a, b))
+        shared = [x for x in p if x in q]
+        assert shared
+        # the room that is left after the first shared shingle is enough, as the join demands
+        room = min(len(a) - p.index(shared[0]), len(b) - q.index(shared[0]))
+        assert room * 1.8 + 1e-6 >= 0.8 * (len(a) + len(b))
+
+
+def test_a_common_passage_links_nothing(spark):
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"u{r.randint(0, 10**6)}" for _ in range(40))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rs.one_of_each(df).count() == 200
