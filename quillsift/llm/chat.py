@@ -88,14 +88,14 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 _BROKEN = "replace(replace({}, '<|', '< |'), '|>', '| >')".format
 ORACLE = f"""
 WITH s AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS who, {_BROKEN("coalesce(text, '')")} AS body FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, who, body) - 1 AS at FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, who, body) - 1 AS k FROM s),
 p AS (SELECT DISTINCT conv_id, who AS perspective FROM s WHERE who <> '{CONTEXT}'),
-b AS (SELECT n.*, p.perspective, at // {WINDOW} AS w,
+b AS (SELECT n.*, p.perspective, k // {WINDOW} AS w,
   CASE WHEN who = perspective THEN '<|assistant|>' || chr(10) WHEN who = '{CONTEXT}' THEN '<|system|>' || chr(10) ELSE '<|user name=' || {_BROKEN("who")} || '|>' || chr(10) END AS head FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
 l AS (SELECT *, head || body || '<|end|>' || chr(10) AS piece,
-  coalesce(sum(length(head) + length(body) + {len(END)}) OVER (PARTITION BY conv_id, perspective, w ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
-g AS (SELECT conv_id, perspective, w, count(*) AS n_turns, string_agg(piece, '' ORDER BY at) AS text,
-  coalesce(string_agg(CASE WHEN who = perspective THEN CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(body) + {len(END)} AS BIGINT) AS VARCHAR) END, ',' ORDER BY at), '') AS masks FROM l GROUP BY ALL)
+  coalesce(sum(length(head) + length(body) + {len(END)}) OVER (PARTITION BY conv_id, perspective, w ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
+g AS (SELECT conv_id, perspective, w, count(*) AS n_turns, string_agg(piece, '' ORDER BY k) AS text,
+  coalesce(string_agg(CASE WHEN who = perspective THEN CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(body) + {len(END)} AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS masks FROM l GROUP BY ALL)
 SELECT conv_id, perspective, w AS "window", n_turns, text, masks,
   CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
 FROM g
