@@ -1,15 +1,22 @@
 """The main text of web pages by text-to-tag ratio.
 
 Pages stream through the standard library's parser. Every block is a line with its characters, the tags around
-them and the characters in links; lines inside menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, hidden elements and reader comments are left out by their element. The ratios of
-characters to tags are smoothed by a Gaussian over neighbouring lines and parted in two clusters by an
-iterated threshold; the container that holds most of the upper cluster is the content region. An article is
-given whole; in another container lines that are mostly links are left out.
+them and the characters in links; lines inside menus, page headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, hidden elements and reader comments are left out where their element or its class, id or role says
+so outright. The ratios of characters outside links to tags are smoothed by a Gaussian over neighbouring lines and
+parted in two clusters by an iterated threshold, and the upper cluster decides:
+
+* the innermost container with HOLDS of its characters is the region; if that lies in an article (or main), this is
+  given whole;
+* any other region goes on, above and below, over neighbouring headings, paragraphs and lines of the upper cluster
+  that lie beside it in the containers around it; rows of lines that are nothing but links are menus;
+* an element whose class or id only hints at what it is (`related-work`, `ad-slot`) stays if its lines are in the
+  upper cluster.
 
 Defined results: null and empty pages, and pages without text, give an empty string; markup that is never
-closed ends with its parent or the page; repeated rows give repeated results; an empty table gives no rows.
-Only the named columns are used.
+closed ends with its parent or the page; of containers that hold equally much the innermost is taken; a very long page
+is fed in parts and read to its end; repeated rows give repeated results; an empty table gives no rows. Only the named
+columns are used, whatever else a table has.
 """
 
 from __future__ import annotations
@@ -23,18 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Spread of the Gaussian in lines; share of the upper cluster that the region must hold; share of links that drops a line; characters fed at once.
-SIGMA, HOLDS, LINKS, FEED = 1.0, 0.9, 0.6, 1 << 16
+#: Spread of the Gaussian in lines; share of the upper cluster that the region must hold; characters fed at once.
+SIGMA, HOLDS, FEED = 1.0, 0.9, 1 << 16
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-CONTAINERS = frozenset("article body center div main section table td".split())
+CONTAINERS = frozenset("article body center div main ol section table td ul".split())
 LEFT_OUT = frozenset("aside button canvas datalist dialog footer form head iframe math menu nav noscript object optgroup option script search select style svg template textarea title".split())
 #: A start tag of the key closes open elements of its value, up to the nearest block that may hold them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("article aside body div dl footer form header html main nav ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no name marks, since they are text or hold all of it.
+TEXTUAL = HEADINGS | frozenset("html body main hgroup p".split())
 #: Words of class, id and role that mark what is no main text, and words that say the element only surrounds it.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo complementary cookie cookies disqus "
@@ -47,52 +57,57 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "within")
+    __slots__ = ("text", "tags", "linked", "within", "tag", "hinted")
 
-    def __init__(self, text: str, tags: int, linked: int, within: tuple[int, ...]):
-        self.text, self.tags, self.linked, self.within = text, tags, linked, within
+    def __init__(self, text: str, tags: int, linked: int, within: tuple[int, ...], tag: str, hinted: bool):
+        self.text, self.tags, self.linked, self.within, self.tag, self.hinted = text, tags, linked, within, tag, hinted
 
 
 class Reader(HTMLParser):
-    """Events to lines. The stack holds blocks, and other elements only where they are left out."""
+    """Events to lines. The stack holds blocks, and other elements only where they are left out or hinted at."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number of the container or -1, whether it is left out
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number of the container or -1, whether it is left out, whether a name hints at that
         self.kinds: list[str] = []
-        self.out = self.articles = self.links = self.tags = self.linked = 0
+        self.out = self.hints = self.articles = self.links = self.tags = self.linked = 0
         self.buffer: list[str] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, tuple(n for _, n, _ in self.stack if n >= 0)))
+            self.lines.append(Line(text, self.tags, self.linked, tuple(x[1] for x in self.stack if x[1] >= 0), self.stack[-1][0] if self.stack else "", self.hints > 0))
             self.tags = 0
         self.buffer, self.linked = [], 0
 
-    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _judged(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether the element is left out, and whether its names hint that it might be."""
         if tag in LEFT_OUT or tag == "header" and not self.articles:
-            return True
-        if tag in ("html", "body", "main"):
-            return False
+            return True, False
+        hinted = False
         for key, value in attrs:
+            if tag in ("html", "body", "main"):
+                break
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value or ""):
-                return True
-            if key in ("class", "id", "role"):
+                return True, False
+            if key in ("class", "id", "role") and tag not in TEXTUAL and (tag != "article" or self.articles):
                 for name in (value or "").split():
+                    if name.lower() in MARKS and not (self.articles and name.lower() == "header"):
+                        return True, False
                     words = {w.lower() for w in WORD.findall(name)}
-                    if self.articles:
-                        words -= {"header"}
                     if words & MARKS and not words & AROUND:
-                        return True
-        return False
+                        if key == "class" and not self.articles:
+                            return True, False
+                        hinted = True
+        return False, hinted
 
     def _pop(self, n: int) -> None:
         """Closes the stack down to n elements."""
         while len(self.stack) > n:
-            tag, _, out = self.stack.pop()
+            tag, _, out, hinted = self.stack.pop()
             self.out -= out
+            self.hints -= hinted
             self.articles -= tag in ("article", "main")
 
     def handle_starttag(self, tag, attrs):
@@ -102,7 +117,7 @@ class Reader(HTMLParser):
             self.buffer.append(" ")
         if tag == "a":
             self.links += 1
-        out = self._left_out(tag, attrs)
+        out, hinted = self._judged(tag, attrs)
         if tag in BLOCKS:
             self._flush()
             shut = {"p"} | CLOSES.get(tag, set())
@@ -111,7 +126,7 @@ class Reader(HTMLParser):
                     self._pop(n)
                 elif self.stack[n][0] in FENCE:
                     break
-        elif not out:
+        elif not out and not hinted:
             return
         if tag in VOID:
             return
@@ -119,8 +134,9 @@ class Reader(HTMLParser):
         if tag in CONTAINERS:
             number = len(self.kinds)
             self.kinds.append(tag)
-        self.stack.append((tag, number, out))
+        self.stack.append((tag, number, out, hinted))
         self.out += out
+        self.hints += hinted
         self.articles += tag in ("article", "main")
 
     def handle_endtag(self, tag):
@@ -171,6 +187,15 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
+def _menus(lines: list[Line], root: int) -> set[int]:
+    """Containers in the region, and lists, in which two lines or more are nothing but links."""
+    plain: dict[int, list[bool]] = {}
+    for x in lines:
+        for n in x.within[x.within.index(root) + 1 :] if root in x.within else ():
+            plain.setdefault(n, []).append(x.linked >= len(x.text))
+    return {n for n, own in plain.items() if len(own) > 1 and all(own)}
+
+
 def extract(html: str | None) -> str:
     reader = Reader()
     for at in range(0, len(html or ""), FEED):
@@ -179,8 +204,10 @@ def extract(html: str | None) -> str:
     lines = reader.lines
     if not lines:
         return ""
-    ratios = smoothed([(len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+    own = [(len(x.text) - x.linked) / max(1, x.tags) for x in lines]
+    ratios = smoothed(own)
     cut = threshold(ratios)
+    lines, own, ratios = zip(*((x, o, r) for x, o, r in zip(lines, own, ratios, strict=True) if r >= cut or not x.hinted), strict=True)
     weight: dict[int, int] = {}
     total = 0
     for line, ratio in zip(lines, ratios, strict=True):
@@ -194,8 +221,22 @@ def extract(html: str | None) -> str:
     whole = [n for n in path if reader.kinds[n] == "article"] or [n for n in path if reader.kinds[n] == "main"]
     if whole:
         return "\n".join(x.text for x in lines if whole[0] in x.within)
-    inside = [x for x in lines if root < 0 or root in x.within]
-    return "\n".join(x.text for x in inside if x.linked < LINKS * len(x.text))
+    if root < 0:
+        return "\n".join(x.text for x in lines)
+    inside = [i for i, x in enumerate(lines) if root in x.within]
+    first, last = inside[0], inside[-1]
+
+    def beside(i: int) -> bool:
+        """Whether a line next to the region goes on with it."""
+        x = lines[i]
+        return x.within == path[: len(x.within)] and (x.tag in HEADINGS or x.linked < len(x.text) and (x.tag == "p" or own[i] >= cut))
+
+    while first > 0 and beside(first - 1):
+        first -= 1
+    while last + 1 < len(lines) and beside(last + 1):
+        last += 1
+    menus = _menus(lines, root)
+    return "\n".join(x.text for x in lines[first : last + 1] if menus.isdisjoint(x.within))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
