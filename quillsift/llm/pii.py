@@ -1,21 +1,23 @@
 """Personal data by patterns that are bootstrapped from seed entities, in DataFrame and SQL functions only.
 
-Seeds are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers, found by expression. The one
-and two words before a seed are lexical patterns; tokens that look like identifiers (four digits or an at
-sign) are instances, patterns and instances are the two sides of a graph with an edge for each mention. In
-each round a pattern is scored by the share of its occurrences that are followed by a known instance and by
-how many different known instances follow it; patterns above both thresholds make the identifiers that follow
-them known instances of the pattern's kind, and the next round starts from these, until a round finds no new one. Spans of unseen identifiers
-are added to the seeds, which always stay.
-
-Occurrences are counted in the distinct texts that hold an identifier-like token, and so are mentions. Expressions cannot backtrack
-over long runs: their loops are possessive, and a run of characters is entered only at its start or where the
+Seeds are e-mail addresses, IP addresses, card numbers (Luhn), phone numbers and secrets (keys of hexadecimal digits),
+found by expression. The one and two words before a seed, and the one and two behind it, are lexical patterns; tokens
+that look like identifiers (a digit, an at sign, or letters joined by a sign) are instances, patterns and instances are
+the two sides of a graph with an edge for each mention. In each round a pattern is scored by the share of its
+occurrences that stand beside a known instance and by how many different known instances it stands beside; patterns
+above both thresholds make the identifiers beside them known instances of the pattern's kind, and the next round starts
+from these, until a round finds no new one. Spans of unseen identifiers, and of secrets, are added to the seeds of the
+four base kinds, which always stay.
+
+Occurrences and mentions are counted in all distinct texts; a text is known by its SHA-256. Expressions cannot
+backtrack over long runs: their loops are possessive, and a run of characters is entered only at its start or where the
 match before ended, which leaves the leftmost matches as they are.
 
-Defined results: null and empty texts have no spans; a text that occurs again has the same spans; spans of
-equal kind never overlap; added spans overlap no seed; an empty table gives no rows. Positions are code
-points, ends exclusive. redact() keeps all columns; of overlapping spans the first is replaced and the others
-are swallowed.
+Defined results: null and empty texts have no spans; a text that occurs again has the same spans; spans of equal kind
+never overlap; added spans overlap no seed; of equally good kinds the first in order is taken; a very long text, and a
+very long word beside an identifier, count whole; an empty table gives no rows. Columns besides id and text are not
+looked at, whatever their names. Positions are code points, ends exclusive. redact() keeps all columns; of overlapping
+spans the first is replaced and the others are swallowed.
 """
 
 from __future__ import annotations
@@ -35,8 +37,13 @@ EXPRESSIONS = {
 }
 #: What a text must hold before its expression is tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Known instances that a pattern needs; share of its occurrences that known instances must follow.
+#: The kind of seeds beyond the base, and what a token must be to be one.
+ALL_KINDS = (*KINDS, "secret")
+SECRET = "^(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+#: Tokens with a digit, an at sign, or a sign followed by a letter; and what is left of one when it is trimmed.
+TOKEN = r"(?<!\S)(?:[^\s0-9@._/:=+\[\](){}-]++|[._/:=+\[\](){}-]++(?![A-Za-z0-9@]))*+[0-9@._/:=+\[\](){}-]\S*+"
+INSTANCE = r"(?:[0-9][^0-9]*+){4}|[@0-9A-Za-z][._/:=+\[\](){}@-]+[0-9A-Za-z]"
+#: Known instances that a pattern needs; share of its occurrences that known instances must stand beside.
 SUPPORT, CONFIDENCE = 3, 0.5
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
@@ -69,8 +76,8 @@ VALID = {
 
 
 def seeds(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns in keep, `_key` (a hash of the text), `_base` (seeds: kind number, start, end) and `_cands`
-    (identifier-like tokens: start, end, value, words before)."""
+    """The columns in keep, `_key` (SHA-256 of the text), `_base` (seeds: kind number, start, end) and `_cands`
+    (identifier-like tokens: start, end, value, up to two words to the left and to the right, the nearest first)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, body.alias("_text"))
     matched = []
@@ -84,12 +91,16 @@ def seeds(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     rows = rows.select("*", *(F.expr(f"CASE WHEN size(_m_{k}) > 0 THEN split(_text, {_quoted(e)}, -1) END").alias(f"_g_{k}") for k, e in cuts.items()))
     rows = rows.select("*", *(F.expr(_spans(f"_m_{k}", f"_g_{k}")).alias(f"_s_{k}") for k in cuts))
     base = "concat(" + ", ".join(f"transform(filter(_s_{k}, x -> {VALID[k]}), x -> named_struct('k', {n}, 's', x.s, 'e', x.e))" for n, k in enumerate(KINDS)) + ")"
-    before = "transform(_s_token, (x, i) -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'w', regexp_extract_all(lower(right(_g_token[i], 80)), r'\\S+', 0)))"
-    return rows.select(*keep, F.xxhash64("_text").alias("_key"), F.expr(base).alias("_base"), F.expr(before).alias("_cands"))
+    left = "reverse(lower(_g_token[i]))"
+    right = "lower(_g_token[i + 1])"
+    one, two = r"'^\\s*+(\\S++)', 1", r"'^\\s*+\\S++\\s++(\\S++)', 1"
+    words = lambda gap, turn: f"filter(array({turn}(regexp_extract({gap}, {one})), {turn}(regexp_extract({gap}, {two}))), w -> w <> '')"
+    near = f"transform(_s_token, (x, i) -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'l', {words(left, 'reverse')}, 'r', {words(right, '')}))"
+    return rows.select(*keep, F.unhex(F.sha2("_text", 256)).alias("_key"), F.expr(base).alias("_base"), F.expr(near).alias("_cands"))
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """A row for each mention: _key, span, instance, seed kind or null, and its patterns. Tokens inside a seed that begins before them are none."""
+    """A row for each mention: _key, span, instance, seed kind or null, and its patterns (side, words). Tokens inside a seed that begins before them are none."""
     texts = found.where("size(_cands) > 0").select("_key", "_base", "_cands").dropDuplicates(["_key"])
     rows = texts.select("_key", "_base", F.explode("_cands").alias("c")).select("_key", "c", F.expr("filter(_base, b -> b.s < c.e AND b.e > c.s)").alias("b"))
     rows = rows.select(
@@ -97,52 +108,62 @@ def mentions(found: DataFrame) -> DataFrame:
         F.expr("regexp_extract(c.v, '^[^0-9A-Za-z@+]*+', 0)").alias("lead"),
         F.expr("regexp_replace(regexp_replace(c.v, '^[^0-9A-Za-z@+]++', ''), '[^0-9A-Za-z]{1,8}$', '')").alias("inst"),
     )
-    rows = rows.where("b IS NULL OR b.s >= c.s").where("b IS NOT NULL OR instr(inst, '@') > 0 OR length(regexp_replace(inst, '[^0-9]', '')) >= 4")
-    patterns = F.expr("CASE WHEN size(c.w) >= 2 THEN array(try_element_at(c.w, -1), concat_ws(' ', slice(c.w, -2, 2))) WHEN size(c.w) = 1 THEN c.w ELSE cast(array() as array<string>) END")
+    rows = rows.where("b IS NULL OR b.s >= c.s").where(F.col("b").isNotNull() | F.col("inst").rlike(INSTANCE))
+    patterns = F.expr("""concat(
+        CASE WHEN size(c.l) > 0 THEN array(named_struct('side', 'l', 'words', c.l[0])) ELSE array() END,
+        CASE WHEN size(c.l) > 1 THEN array(named_struct('side', 'l', 'words', concat(c.l[1], ' ', c.l[0]))) ELSE array() END,
+        CASE WHEN size(c.r) > 0 THEN array(named_struct('side', 'r', 'words', c.r[0])) ELSE array() END,
+        CASE WHEN size(c.r) > 1 THEN array(named_struct('side', 'r', 'words', concat(c.r[0], ' ', c.r[1]))) ELSE array() END)""")
     start = F.expr("c.s + length(lead)")
-    return rows.select("_key", start.alias("s"), (start + F.length("inst")).alias("e"), "inst", F.expr("b.k").alias("kind"), patterns.alias("patterns"))
+    kind = F.coalesce("b.k", F.when(F.col("inst").rlike(SECRET), ALL_KINDS.index("secret")))
+    return rows.select("_key", start.alias("s"), (start + F.length("inst")).alias("e"), "inst", F.col("b").isNotNull().alias("base"), kind.alias("kind"), patterns.alias("patterns"))
 
 
 def _totals(docs: DataFrame, text: str, wide: DataFrame) -> DataFrame:
-    """(pattern, total): how often the patterns in wide occur in distinct texts; texts are not shuffled to find their copies."""
-    words = docs.where(F.col(text).rlike("[0-9@]")).select(F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("_key"), F.expr(f"regexp_extract_all(lower({_name(text)}), r'\\S+', 0)").alias("t"))
-    ones = words.select("row", "_key", F.explode(F.expr("slice(t, 1, greatest(size(t) - 1, 0))")).alias("pattern"))
-    twos = words.select("row", "_key", F.explode(F.expr("CASE WHEN size(t) > 2 THEN transform(sequence(0, size(t) - 3), i -> concat(t[i], ' ', t[i + 1])) END")).alias("pattern"))
-    by_row = ones.unionByName(twos).join(wide, "pattern", "left_semi").groupBy("row", "_key", "pattern").agg(F.count("*").alias("n"))
-    return by_row.groupBy("_key", "pattern").agg(F.max("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("total"))
+    """(side, words, total): how often the patterns in wide occur in distinct texts with a word on their open side; texts are not shuffled to find their copies."""
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(F.col(text), 256)).alias("_key"), F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")), " ").alias("t"))
+    ones = words.select("row", "_key", F.size("t").alias("n"), F.posexplode("t").alias("at", "words")).withColumn("end", F.col("at") + 1)
+    pairs = F.expr("CASE WHEN size(t) > 1 THEN transform(sequence(0, size(t) - 2), i -> concat(t[i], ' ', t[i + 1])) END")
+    twos = words.select("row", "_key", F.size("t").alias("n"), F.posexplode(pairs).alias("at", "words")).withColumn("end", F.col("at") + 2)
+    wanted = wide.select("words").distinct()
+    by_row = ones.unionByName(twos).join(wanted, "words", "left_semi").groupBy("row", "_key", "words").agg(F.count(F.when(F.col("end") < F.col("n"), 1)).alias("l"), F.count(F.when(F.col("at") > 0, 1)).alias("r"))
+    by_text = by_row.groupBy("_key", "words").agg(F.max("l").alias("l"), F.max("r").alias("r")).groupBy("words").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    return wide.join(by_text, "words").select("side", "words", F.when(F.col("side") == "l", F.col("l")).otherwise(F.col("r")).alias("total"))
 
 
 def discover(docs: DataFrame, text: str, found: DataFrame) -> DataFrame | None:
-    """(_key, added: array of kind number, start, end) of texts with unseen identifiers; None if there are none."""
+    """(_key, added: array of kind number, start, end) of texts with secrets or unseen identifiers; None if there are none."""
     all_of = cut(mentions(found), "pii")
-    edges = cut(all_of.select("inst", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "inst", "kind").agg(F.count("*").alias("n")), "pii")
-    if all_of.where("kind IS NULL").isEmpty():
-        return None
+    more = all_of.where("NOT base AND kind IS NOT NULL").select("_key", F.struct(F.col("kind").alias("k"), "s", "e").alias("x"))
+    side = ["side", "words"]
+    edges = cut(all_of.select("inst", "kind", F.explode("patterns").alias("p")).select("inst", "kind", "p.*").groupBy(*side, "inst", "kind").agg(F.count("*").alias("n")), "pii")
     known, total, size = None, None, 0
-    while True:
+    while not edges.where("kind IS NULL").isEmpty():
         now = edges if known is None else edges.join(known, "inst", "left").withColumn("kind", F.coalesce("kind", "learned")).drop("learned")
         # the edges of one pattern and instance have one row for each seed kind, so counts of rows are counts of instances
-        by_kind = now.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("hits"))
-        best = by_kind.groupBy("pattern").agg(F.max_by("kind", F.struct("support", -F.col("kind"))).alias("learned"), F.sum("support").alias("support"), F.sum("hits").alias("hits"))
-        best = cut(best.where(F.col("support") >= SUPPORT), "pii")
-        fresh = best.select("pattern") if total is None else cut(best.select("pattern").join(total, "pattern", "left_anti"), "pii")
+        by_kind = now.where("kind IS NOT NULL").groupBy(*side, "kind").agg(F.count("*").alias("support"), F.sum("n").alias("hits"))
+        best = by_kind.groupBy(*side).agg(F.max_by("kind", F.struct("support", -F.col("kind"))).alias("learned"), F.sum("support").alias("support"), F.sum("hits").alias("hits"))
+        # a pattern without an unseen identifier beside it can teach nothing
+        open_ = edges.where("kind IS NULL").select(*side).distinct()
+        best = cut(best.where(F.col("support") >= SUPPORT).join(open_, side, "left_semi"), "pii")
+        fresh = best.select(*side) if total is None else cut(best.select(*side).join(total, side, "left_anti"), "pii")
         if not fresh.isEmpty():
             # a pattern without a total keeps a null, so that it is not looked for again
-            more = fresh.join(_totals(docs, text, fresh), "pattern", "left")
-            total = cut(more if total is None else total.unionByName(more), "pii")
+            new = fresh.join(_totals(docs, text, fresh), side, "left")
+            total = cut(new if total is None else total.unionByName(new), "pii")
         if total is None:
-            return None
-        good = best.join(total, "pattern").where(F.col("hits") >= CONFIDENCE * F.col("total")).select("pattern", "learned", (F.col("hits") / F.col("total") * F.log2(F.col("support") + 1)).alias("score"))
-        new = edges.where("kind IS NULL").join(good, "pattern").groupBy("inst").agg(F.max_by("learned", F.struct("score", -F.col("learned"))).alias("learned"))
-        known = cut(new, "pii")
+            break
+        good = best.join(total, side).where(F.col("hits") >= CONFIDENCE * F.col("total")).select(*side, "learned", (F.col("hits") / F.col("total") * F.log2(F.col("support") + 1)).alias("score"))
+        learned = edges.where("kind IS NULL").join(good, side).groupBy("inst").agg(F.max_by("learned", F.struct("score", -F.col("learned"))).alias("learned"))
+        known = cut(learned, "pii")
         # known instances never become unknown, so the same number is the same set
         was, size = size, known.count()
         if size == was:
             break
-    if not size:
-        return None
-    spans = all_of.where("kind IS NULL").join(known, "inst").select("_key", F.struct(F.col("learned").alias("k"), "s", "e").alias("x"))
-    return cut(spans.groupBy("_key").agg(F.collect_set("x").alias("added")), "pii")
+    if size:
+        more = more.unionByName(all_of.where("kind IS NULL").join(known, "inst").select("_key", F.struct(F.col("learned").alias("k"), "s", "e").alias("x")))
+    added = cut(more.groupBy("_key").agg(F.collect_set("x").alias("added")), "pii")
+    return None if added.isEmpty() else added
 
 
 def _name(column: str) -> str:
@@ -158,7 +179,7 @@ def _both(found: DataFrame, added: DataFrame | None) -> DataFrame:
 
 
 def _listed(column: str) -> F.Column:
-    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    names = "array(" + ", ".join(f"'{k}'" for k in ALL_KINDS) + ")"
     return F.expr(f"array_join(transform({column}, x -> concat({names}[x.k], ':', x.s, ':', x.e)), ',')")
 
 
@@ -181,7 +202,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = [f"c{i}" for i in range(len(docs.columns))]
     body = plain[docs.columns.index(text)]
     rows = _both(seeds(docs.toDF(*plain), body, plain), added)
-    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
+    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in ALL_KINDS) + ")"
     pieces = f"""aggregate(array_sort(transform(_all, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))), named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> CASE WHEN x.s >= a.at THEN named_struct('at', x.e, 'out', concat(a.out, array(substr({body}, a.at + 1, x.s - a.at), {names}[x.k])))
         ELSE named_struct('at', greatest(a.at, x.e), 'out', a.out) END,

@@ -88,3 +88,51 @@ def test_learned_identifiers_teach_further_contexts(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
     assert [i for i in spans if not spans[i].startswith("email:")] == [i for i, d in enumerate(docs) if d.startswith("the year")]
+
+
+def planted(seed=1):
+    """(text, its span, whether no base expression can see it): each kind has contexts before and behind it, and odd spellings of its identifiers beside the usual ones."""
+    r = random.Random(seed)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    luhn = lambda c: next(c + k for k in "0123456789" if valid("card", c + k))
+    usual = {
+        "email": lambda: f"u{d(4)}@m{d(3)}.example.org", "ip": lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), "card": lambda: luhn(d(15)), "phone": lambda: f"+49{d(9)}",
+        "secret": lambda: hashlib.sha1(d(9).encode()).hexdigest(),
+    }
+    odd = {
+        "email": lambda: f"u{d(4)}(at)m{d(3)}.example.org", "ip": lambda: f"fe80::{d(2)}a:{d(3)}", "card": lambda: ".".join(d(4) for _ in range(4)), "phone": lambda: f"0{d(3)}/{d(6)}",
+        "secret": lambda: hashlib.sha1(d(9).encode()).hexdigest().upper(),
+    }
+    before = {"email": ["mail me:", "reach us at"], "ip": ["from host", "server address"], "card": ["card number", "charged to:"], "phone": ["call me:", "dial"], "secret": ["token =", "api key"]}
+    behind = {"email": "is my mailbox", "ip": "refused connections", "card": "was declined", "phone": "rings forever", "secret": "grants access"}
+    filler = lambda: " ".join(r.choice(["the", "house", "of", "2024", "stood", "at", "well-known", "number", "4.0", "from", "me:"]) for _ in range(r.randint(3, 20)))
+    rows = []
+    for _ in range(900):
+        kind = r.choice(list(usual))
+        unseen = r.random() < 0.25
+        value = (odd if unseen else usual)[kind]()
+        left = filler() + " " + (r.choice(before[kind]) + " " if r.random() < 0.8 else "")
+        right = " " + behind[kind] if not left.rstrip().endswith(tuple(before[kind])) else " " + filler()
+        span = f"{kind}:{len(left)}:{len(left) + len(value)}"
+        rows.append((left + value + right, span, unseen))
+    return rows + [(filler(), "", False) for _ in range(600)]
+
+
+def test_planted_unseen_identifiers_are_found(spark):
+    rows = planted()
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: {x for x in r.spans.split(",") if x} for r in pii.report(df).collect()}
+    wanted = hits = false = 0
+    for i, (text, span, unseen) in enumerate(rows):
+        base = set(brute(text)[1].split(","))
+        wanted, hits = wanted + unseen, hits + (unseen and span in found[i])
+        false += len(found[i] - {span} - base)
+    assert wanted > 150 and hits >= 0.9 * wanted and false <= 0.01 * hits, (wanted, hits, false)
+
+
+def test_long_words_beside_identifiers_and_columns_with_clashing_names(spark):
+    rows = [(i, "x" * 3000 + f" u{i}@m{i}.example.org ok", "a", "b") for i in range(4)] + [(9, "x" * 3000 + " u99(at)m ok", "a", "b"), (10, "x" * 2999 + "y u98(at)m no", "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cands string, words string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert spans[9] == "email:3001:3010" and spans[10] == ""
+    assert pii.redact(df).where("doc_id = 9").first().text.endswith("x [EMAIL] ok")
