@@ -1,18 +1,19 @@
 """Benchmark passages in documents, found through suffix arrays of the documents.
 
-A shard of documents becomes one array of word numbers; its suffix array holds the suffixes that start like
-some benchmark window, sorted by as many words as a window has. Every window of every benchmark item is
-searched there by bisection, which gives all its places; neighbouring windows on one diagonal join to the
-longest verbatim matches. Suffixes that share no beginning with any window are left out of the array: no
-search can end at them. Shards are bounded in words, so memory does not follow the size of a partition.
-
-The benchmark is sent to the executors in blocks of at most ITEM_BYTES; where it needs several, documents
-are searched once for each and the covers of a document are united.
-
-Defined results: null texts, and texts or items without words, have no words and no hits; an item of fewer
-words than a window is one window; repeated items count once by id, items without an id hit words but are
-not named; repeated documents are judged alike; an empty benchmark contaminates nothing. Only the named
-columns are used; clean() keeps all columns.
+A shard of documents becomes one array of word numbers; its suffix array holds every suffix that begins with a word of
+the benchmark, sorted by as many words as a window has. Every suffix of every benchmark item that is as long as a window
+is searched there by bisection, which gives all its places; from place to place the test positions that go on verbatim
+are followed, so a run that none of them goes on with is a longest match with its place. Shards are bounded in words,
+so memory does not follow the size of a partition.
+
+The benchmark is sent to the executors in blocks of at most ITEM_BYTES, one at a time; where it needs several, documents
+are searched once for each, what was found is written, the block is dropped, and the covers of a document are united.
+
+Defined results: null texts, and texts or items without words, have no words and no hits; an item of fewer words than a
+window is one window; repeated items count once by id, items without an id hit words but are not named; of equally long
+matches the first is reported; repeated documents are judged alike; a very long document is a shard of its own and is
+searched whole; an empty benchmark contaminates nothing, and an empty table gives no rows. Only the named columns are
+used, whatever else a table has; clean() keeps all columns.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_field
+from .common import cut, id_field
 
 #: Bytes of benchmark text that one broadcast may hold; words of a shard; bytes of a text that are split at once.
-ITEM_BYTES, SHARD, BLOCK = 32 << 20, 2_000_000, 1 << 20
+ITEM_BYTES, SHARD, BLOCK = 32 << 20, 1_000_000, 1 << 20
+#: Rows whose results are held at once.
+STEP = 512
 #: ASCII letters to lower case, digits and all bytes of other scripts as they are, the rest to spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 GAP = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
@@ -46,36 +48,45 @@ class Finder:
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = 10):
         number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, raw in items:
-            own = [number.setdefault(w, len(number) + 1) for w in words_of(raw)]
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if own else 0):
-                owners[tuple(own[at : at + size])].update([] if item is None else [item])
-        self.number, self.window = number, window
-        self.windows = sorted(owners)
-        self.owners = [sorted(owners[w]) for w in self.windows]
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        bits = max(1, len(number).bit_length())
-        self.per, self.bits = 64 // bits, bits
-        table = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
-            table[i, : len(w)] = w
-        self.low = self._keys([table[:, j] for j in range(window)], len(self.windows))
-        top = np.where(np.arange(window)[None, :] < self.sizes[:, None], table, (1 << bits) - 1)
-        self.high = self._keys([top[:, j] for j in range(window)], len(self.windows))
-        self.first = np.zeros(len(number) + 1, bool)
-        self.first[[w[0] for w in self.windows if len(w) == 1]] = True
-        self.pairs = np.unique(np.array([w[0] * (len(number) + 1) + w[1] for w in self.windows if len(w) > 1], np.int64))
-
-    def _keys(self, columns: list[np.ndarray], n: int) -> np.ndarray:
-        """Word numbers packed so that byte order is the order of the words."""
+        own = [np.fromiter((number.setdefault(w, len(number) + 1) for w in words_of(raw)), np.int64) for _, raw in items]
+        self.number, self.window, self.names = number, window, [name for name, _ in items]
+        sizes = np.array([len(x) for x in own], np.int64)
+        starts = np.cumsum(sizes + window) - sizes - window  # items are parted by a window of zeros
+        whole = np.concatenate([y for x in own for y in (x, np.zeros(window, np.int64))]) if own else np.zeros(0, np.int64)
+        count = np.where(sizes > 0, np.maximum(sizes - window, 0) + 1, 0)
+        owner = np.repeat(np.arange(len(own)), count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
+        self.bits = max(1, len(number).bit_length())
+        self.per = 64 // self.bits
+        words = whole[place[:, None] + np.arange(window)] if len(place) else np.zeros((0, window), np.int64)
+        keys = self._keys(self._packed(words.T))
+        self.low, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        self.sizes = np.minimum(sizes, window)[owner[first]]
+        filled = np.where(np.arange(window) < self.sizes[:, None], words[first], (1 << self.bits) - 1)
+        self.high = self._keys(self._packed(filled.T))
+        order = np.argsort(which, kind="stable")
+        self.spots, self.owner = place[order], owner[order]
+        self.at = np.searchsorted(which[order], np.arange(len(self.low) + 1))
+
+    def owners(self, window: int) -> set[str]:
+        found = self.owner[self.at[window] : self.at[window + 1]].tolist()
+        return {self.names[i] for i in found} - {None}
+
+    def _packed(self, columns) -> list[np.ndarray]:
+        """Word numbers packed so that their order is the order of the words; the first column weighs most."""
         packed = []
         for at in range(0, self.window, self.per):
-            key = np.zeros(n, np.uint64)
+            key = np.zeros(len(columns[0]), np.uint64)
             for j in range(at, at + self.per):
-                key = key << np.uint64(self.bits) | (columns[j].astype(np.uint64) if j < self.window else np.uint64(0))
+                key = key << np.uint64(self.bits)
+                if j < self.window:
+                    key |= columns[j].astype(np.uint64)
             packed.append(key)
+        return packed
+
+    @staticmethod
+    def _keys(packed: list[np.ndarray]) -> np.ndarray:
+        """Packed words whose byte order is their order."""
         wide = np.ascontiguousarray(np.stack(packed, axis=1).astype(">u8"))
         return wide.view(f"S{8 * len(packed)}").ravel()
 
@@ -93,20 +104,14 @@ class Finder:
 
     def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, window) of every occurrence in the words of a shard, whose documents are parted by zeros."""
-        if not len(self.windows) or not len(ids):
+        suffixes = np.flatnonzero(ids)
+        if not len(self.low) or not len(suffixes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        after = np.append(ids[1:], 0)
-        start = self.first[ids]
-        both = np.flatnonzero((ids > 0) & (after > 0))
-        if len(self.pairs) and len(both):
-            code = ids[both] * len(self.first) + after[both]
-            spot = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            start[both[self.pairs[spot] == code]] = True
-        suffixes = np.flatnonzero(start)
         padded = np.append(ids, np.zeros(self.window, np.int64))
-        keys = self._keys([padded[suffixes + j] for j in range(self.window)], len(suffixes))
-        order = np.argsort(keys, kind="stable")
-        suffixes, keys = suffixes[order], keys[order]
+        packed = self._packed([padded[j : j + len(ids)][suffixes] for j in range(self.window)])
+        order = np.lexsort(packed[::-1])
+        keys = self._keys([x[order] for x in packed])
+        suffixes = suffixes[order]
         low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         count = high - low
         window = np.repeat(np.arange(len(count)), count)
@@ -114,7 +119,7 @@ class Finder:
         return suffixes[rank], window
 
     def judge(self, raws: list[bytes | None]):
-        """For each document (words, boolean cover of its words, sorted ids of its items), in order."""
+        """For each document (words, boolean cover of its words, sorted ids of its items, longest matches), in order."""
         ids, n = [], 0
         for raw in raws:
             own = self.numbers(raw)
@@ -130,123 +135,133 @@ class Finder:
         sizes = np.array([len(x) + 1 for x in ids], np.int64)
         ends = np.cumsum(sizes)
         place, window = self.occurrences(np.concatenate([y for x in ids for y in (x, zero)]) if ids else zero)
+        order = np.argsort(place, kind="stable")
+        place, window = place[order], window[order]
         edge = np.zeros(int(ends[-1]) + 1 if ids else 1, np.int64)
         np.add.at(edge, place, 1)
         np.subtract.at(edge, place + self.sizes[window], 1)
         cover = np.cumsum(edge) > 0
-        items: dict[int, set[str]] = defaultdict(set)
-        doc = np.searchsorted(ends, place, "right")
-        for code in np.unique(doc * max(1, len(self.windows)) + window).tolist():
-            items[code // len(self.windows)].update(self.owners[code % len(self.windows)])
+        bounds = np.searchsorted(place, [0, *ends.tolist()])
         for i, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-            yield size - 1, cover[end - size : end - 1], sorted(items.get(i, ()))
-
-    def longest(self, raw: bytes | None) -> list[tuple[str, int, int]]:
-        """(item, first word in the document, words) of each longest verbatim match of one document."""
-        place, window = self.occurrences(self.numbers(raw))
-        spans: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for p, w in sorted(zip(place.tolist(), window.tolist(), strict=True)):
-            for item in self.owners[w]:
-                own = spans[item]
-                if own and own[-1][0] + own[-1][1] - len(self.windows[w]) + 1 >= p:
-                    own[-1] = own[-1][0], max(own[-1][1], p + len(self.windows[w]) - own[-1][0])
-                else:
-                    own.append((p, len(self.windows[w])))
-        return sorted((item, p, n) for item, own in spans.items() for p, n in own)
-
-
-def blocks_of(items: DataFrame, item_id: str, text: str) -> list[list[tuple[str | None, bytes | None]]]:
-    """The distinct items, in blocks that may be broadcast; at least one block."""
+            own = slice(bounds[i], bounds[i + 1])
+            names = set().union(*(self.owners(w) for w in np.unique(window[own]).tolist()))
+            yield size - 1, cover[end - size : end - 1], sorted(names), self.longest(place[own] - (end - size), window[own])
+
+    def longest(self, place: np.ndarray, window: np.ndarray) -> list[tuple[str | None, int, int]]:
+        """(item, first word in the document, words) of the longest verbatim matches, from a document's occurrences by place."""
+        found, runs, before = set(), {}, -1  # runs: test position that must come next to (its item, first word)
+        close = lambda: found.update((self.names[item], first, before + self.window - first) for item, first in runs.values())
+        for p, w in zip(place.tolist(), window.tolist(), strict=True):
+            spots, owner = self.spots[self.at[w] : self.at[w + 1]].tolist(), self.owner[self.at[w] : self.at[w + 1]].tolist()
+            if self.sizes[w] < self.window:
+                found.update((self.names[item], p, int(self.sizes[w])) for item in owner)
+                continue
+            if p != before + 1:
+                close()
+                runs = {}
+            going = {spot + 1: (item, runs.pop(spot, (item, p))[1]) for spot, item in zip(spots, owner, strict=True)}
+            close()
+            runs, before = going, p
+        close()
+        return sorted(found, key=lambda x: (x[1], -x[2], x[0] or ""))
+
+
+def blocks_of(items: DataFrame, item_id: str, text: str):
+    """The distinct items, in blocks that may be broadcast, collected one at a time; at least one block."""
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.length("t") + 64)).first()[0] or 0
     n = 1 if total <= ITEM_BYTES else -(-3 * total // (2 * ITEM_BYTES))
-    if n == 1:
-        return [[(r.i, bytes(r.t)) for r in rows.collect()]]
-    return [[(r.i, bytes(r.t)) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+        yield k + 1 == n, [(r.i, bytes(r.t)) for r in own.collect()]
 
 
-def report(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document its words, hit words and items, as the columns of the query."""
-    spark, blocks = docs.sparkSession, blocks_of(items, item_id, item_text)
-    rows = docs.select(F.col(doc_id), F.col(text).cast("binary").alias("_text"))
-    names = [doc_id, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    schema = T.StructType([id_field(docs, doc_id), *(T.StructField(n, t) for n, t in zip(names[1:], (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()), strict=True))])
-    sent = [spark.sparkContext.broadcast(Finder(block, window)) for block in blocks]
+FOUND = "n long, cover binary, own array<string>, longest array<struct<item_id:string,first_word:long,n_words:long>>"
+_KINDS = [pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))]
 
-    def summed(found):
-        n, hit, own = zip(*((n, int(cover.sum()), own) for n, cover, own in found), strict=True)
-        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in own]
-        return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, own), pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit])]
 
-    if len(sent) == 1:
+def searched(rows: DataFrame, items: DataFrame, window: int, item_id: str, text: str) -> tuple[list[DataFrame], bool]:
+    """For each block of items a table of key (the first column of rows), words, packed cover, items and longest matches
+    of rows (key, binary text); whether there is one block, whose table is not computed yet."""
+    key, parts = rows.columns[0], []
+    for last, block in blocks_of(items, item_id, text):
+        finder = rows.sparkSession.sparkContext.broadcast(Finder(block, window))
 
-        def run(batches):
+        def run(batches, finder=finder):
             for batch in batches:
-                if len(batch):
-                    yield pa.RecordBatch.from_arrays([batch.column(0), *summed(sent[0].value.judge([x.as_py() for x in batch.column(1)]))], names)
+                found = finder.value.judge([x.as_py() for x in batch.column(1)])
+                for at in range(0, len(batch), STEP):
+                    own = [(n, np.packbits(cover).tobytes(), names, [dict(zip(("item_id", "first_word", "n_words"), x, strict=True)) for x in longest]) for n, cover, names, longest in itertools.islice(found, STEP)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, STEP), *(pa.array(c, t) for c, t in zip(zip(*own, strict=True), _KINDS, strict=True))], [key, "n", "cover", "own", "longest"])
 
-        return rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(run, T.StructType([id_field(rows, key), *T._parse_datatype_string(FOUND).fields]))
+        if last and not parts:
+            return [part], True
+        parts.append(cut(part, "decontaminate"))
+        finder.destroy()
+    return parts, False
 
-    def searched(finder):
-        def run(batches):
-            for batch in batches:
-                found = [(n, np.packbits(cover).tobytes(), own) for n, cover, own in finder.value.judge([x.as_py() for x in batch.column(1)])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.list_(pa.string())), batch.column(2)], [doc_id, "n", "cover", "own", "copy"])
-
-        return run
 
+def report(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document its words, hit words and items, and its longest verbatim match with its first word, as the columns of the query."""
+    rows = docs.select(F.col(doc_id), F.col(text).cast("binary").alias("_text"))
+    names = [doc_id, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_longest", "longest_at"]
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.LongType(), T.LongType()]
+
+    def summed(key, n, cover, own, longest):
+        bits = [np.unpackbits(np.frombuffer(c, np.uint8), count=k) for c, k in zip(cover, n, strict=True)]
+        hit = [int(b.sum()) for b in bits]
+        best = [min(((-x["n_words"], x["first_word"]) for x in own_), default=(0, -1)) for own_ in longest]
+        sha = [hashlib.sha256(",".join(sorted(set(x))).encode()).hexdigest() for x in own]
+        return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(set(x)) for x in own], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array([-b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.int64())], names)
+
+    found, single = searched(rows, items, window, item_id, item_text)
+    schema = T.StructType([id_field(docs, doc_id), *map(T.StructField, names[1:], kinds)])
+    if single:
+        return found[0].mapInArrow(lambda batches: (summed(b.column(0), *(b.column(i).to_pylist() for i in range(1, 5))) for b in batches), schema)
     # several blocks: a distinct text is searched in each, and its covers meet by text
-    texts = rows.select(F.sha2("_text", 256).alias(doc_id), "_text", F.lit(0).alias("copy")).dropDuplicates([doc_id])
-    parts = None
-    for finder in sent:
-        part = texts.mapInArrow(searched(finder), f"`{doc_id}` string, n long, cover binary, own array<string>, copy int")
-        parts = part if parts is None else parts.unionByName(part)
+    texts = rows.select(F.sha2("_text", 256).alias(doc_id), "_text").where("_text IS NOT NULL").dropDuplicates([doc_id])
+    parts, _ = searched(cut(texts, "decontaminate"), items, window, item_id, item_text)
 
     def unite(table):
-        covers = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8)) for x in table.column("cover")]
-        n = table.column("n")[0].as_py()
-        own = sorted({i for x in table.column("own").to_pylist() for i in x})
-        return pa.RecordBatch.from_arrays([table.column(doc_id).combine_chunks()[:1], *summed([(n, np.any(covers, axis=0)[:n], own)])], names)
-
-    judged = parts.groupBy(doc_id).applyInArrow(lambda t: pa.Table.from_batches([unite(t)]), T.StructType([T.StructField(doc_id, T.StringType()), *schema.fields[1:]]))
-    judged = judged.withColumnRenamed(doc_id, "_sha")
+        covers = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("cover")]
+        own = [i for x in table.column("own").to_pylist() for i in x]
+        longest = [x for y in table.column("longest").to_pylist() for x in y]
+        return pa.Table.from_batches([summed(table.column(doc_id).combine_chunks()[:1], table.column("n").to_pylist()[:1], [np.bitwise_or.reduce(covers).tobytes()], [own], [longest])])
+
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    judged = every.groupBy(doc_id).applyInArrow(unite, T.StructType([T.StructField(doc_id, T.StringType()), *schema.fields[1:]])).withColumnRenamed(doc_id, "_sha")
     keyed = rows.select(doc_id, F.sha2("_text", 256).alias("_sha")).join(judged, "_sha", "left")
-    return keyed.select(doc_id, *(F.coalesce(F.col(n), F.lit(z)).alias(n) for n, z in zip(names[1:], (0, 0, 0, hashlib.sha256().hexdigest(), False), strict=True)))
+    return keyed.select(doc_id, *(F.coalesce(F.col(n), F.lit(z)).alias(n) for n, z in zip(names[1:], (0, 0, 0, hashlib.sha256().hexdigest(), False, 0, -1), strict=True)))
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id as string, first_word, n_words) of the longest verbatim matches, for a benchmark of one block."""
-    blocks = blocks_of(items, item_id, item_text)
-    schema = T.StructType([id_field(docs, doc_id), T.StructField("item_id", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
-    rows, found = docs.select(F.col(doc_id), F.col(text).cast("binary").alias("_text")), None
-    for block in blocks:
-        finder = docs.sparkSession.sparkContext.broadcast(Finder(block, window))
-
-        def run(batches, finder=finder):
-            for batch in batches:
-                for at, raw in enumerate(batch.column(1)):
-                    if own := finder.value.longest(raw.as_py()):
-                        items, first, n = zip(*own, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at] * len(own))), pa.array(items), pa.array(first, pa.int64()), pa.array(n, pa.int64())], schema.names)
-
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    """(doc_id, item_id as string, first_word, n_words) of the longest verbatim matches."""
+    rows, every = docs.select(F.col(doc_id), F.col(text).cast("binary").alias("_text")), None
+    for part in searched(rows, items, window, item_id, item_text)[0]:
+        own = part.select(doc_id, F.inline("longest"))
+        every = own if every is None else every.unionByName(own)
+    return every
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the documents that hold a window of the benchmark; one pass over the rows for each block."""
+    """docs without the documents that hold a longest match of a window or more; one pass over the rows for each block."""
     at = docs.columns.index(text)
-    for block in blocks_of(items, item_id, item_text):
+    for last, block in blocks_of(items, item_id, item_text):
         finder = docs.sparkSession.sparkContext.broadcast(Finder(block, window))
 
         def run(batches, finder=finder):
             for batch in batches:
                 raws = (None if x is None else x.encode("utf-8", "surrogatepass") for x in batch.column(at).to_pylist())
-                keep = [not cover.any() for _, cover, _ in finder.value.judge(raws)]
+                keep = [not longest for *_, longest in finder.value.judge(raws)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = cut(docs, "decontaminate")
+            finder.destroy()
     return docs
 
 
@@ -259,7 +274,12 @@ k AS (SELECT DISTINCT k FROM i),
 e AS (SELECT doc_id, w, k, unnest(range(1, greatest(1, len(w) - k + 2))) AS p FROM d, k),
 m AS (SELECT e.doc_id, e.p, e.k, i.item_id FROM e JOIN i ON e.k = i.k AND array_to_string(e.w[e.p:e.p + e.k - 1], ' ') = i.t),
 h AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY doc_id),
-j AS (SELECT doc_id, count(*) AS n, string_agg(t, ',' ORDER BY t) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(j.n, 0) AS n_items, sha256(coalesce(j.l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)
+j AS (SELECT doc_id, count(*) AS n, string_agg(t, ',' ORDER BY t) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM m) GROUP BY doc_id),
+r AS (SELECT DISTINCT m.doc_id, m.p, m.k, m.item_id, s.p AS q FROM m JOIN s ON m.item_id IS NOT DISTINCT FROM s.item_id AND m.k = s.k JOIN d USING (doc_id) WHERE s.w[s.p:s.p + s.k - 1] = d.w[m.p:m.p + m.k - 1]),
+u AS (SELECT doc_id, k, p, p - row_number() OVER (PARTITION BY doc_id, k, item_id, p - q ORDER BY p) AS island, item_id, p - q AS diagonal FROM r),
+v AS (SELECT doc_id, min(p) AS p, count(*) + k - 1 AS n FROM u GROUP BY doc_id, k, item_id, diagonal, island),
+x AS (SELECT doc_id, max(n) AS n, arg_min(p - 1, (-n, p)) AS p FROM v GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(j.n, 0) AS n_items, sha256(coalesce(j.l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
+  CAST(coalesce(x.n, 0) AS BIGINT) AS n_longest, CAST(coalesce(x.p, -1) AS BIGINT) AS longest_at
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id) LEFT JOIN x USING (doc_id)
 """

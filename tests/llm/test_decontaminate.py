@@ -23,7 +23,24 @@ def brute(text, items, window=10):
                 if w[p : p + k] == v[a : a + k]:
                     hit.update(range(p, p + k))
                     own.update([] if item is None else [str(item)])
-    return len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)
+    size, at = longest(w, items, window)
+    return len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit), size, at
+
+
+def longest(w, items, window):
+    """(words, first word) of the longest run of words that an item has too, if it holds a window."""
+    best = (0, -1)
+    for _, t in items:
+        v = words(t)
+        k = min(window, len(v))
+        for a in range(len(v)):
+            for p in range(len(w)):
+                n = 0
+                while a + n < len(v) and p + n < len(w) and v[a + n] == w[p + n]:
+                    n += 1
+                if k and n >= k:
+                    best = min(best, (-n, p)) if best[0] else (-n, p)
+    return -best[0], best[1]
 
 
 def fixture():
@@ -53,10 +70,10 @@ def test_small_shards_and_blocks_change_nothing(monkeypatch):
     docs, items = fixture()
     raws = [None if t is None else t.encode() for t in docs]
     finder = dc.Finder([(None if i is None else str(i), None if t is None else t.encode()) for i, t in items])
-    whole = [(n, c.tolist(), o) for n, c, o in finder.judge(raws)]
+    whole = [(n, c.tolist(), o, x) for n, c, o, x in finder.judge(raws)]
     monkeypatch.setattr(dc, "SHARD", 30)
     monkeypatch.setattr(dc, "BLOCK", 11)
-    assert [(n, c.tolist(), o) for n, c, o in finder.judge(raws)] == whole
+    assert [(n, c.tolist(), o, x) for n, c, o, x in finder.judge(raws)] == whole
 
 
 def test_clean_keeps_clean_rows_and_columns(spark):
@@ -75,3 +92,14 @@ def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, f"x {passage} y"), (2, " ".join(passage.split()[:9]))], "doc_id long, text string")
     bench = spark.createDataFrame([("q", passage)], "item_id string, text string")
     assert [tuple(r) for r in dc.matches(docs, bench).collect()] == [(1, "q", 1, 14)]
+
+
+def test_a_match_follows_one_place_of_the_benchmark(spark):
+    """Windows that occur twice in an item go on differently; a run may not hop from one place to the other."""
+    common = " ".join(f"c{i}" for i in range(12))
+    bench = spark.createDataFrame([("q", f"{common} left one two {common} right three four")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {common} left one y"), (2, f"{common} right"), (3, f"one two {common} left"), (4, "w " * 300_000 + common)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_longest, r.longest_at) for r in dc.report(docs, bench).collect()}
+    assert got == {1: (14, 1), 2: (13, 0), 3: (14, 0), 4: (12, 300_000)}
+    spans = sorted(tuple(r) for r in dc.matches(docs, bench).where("doc_id = 3").collect())
+    assert spans == [(3, "q", 0, 14), (3, "q", 2, 13)]
