@@ -57,3 +57,25 @@ def test_temperature_softens_false_certainty():
     logits = [np.array([4.0, 0.0])] * 10
     assert langid.temperature(logits, [0] * 7 + [1] * 3) > 2
     assert langid.temperature([], []) == 1.0
+
+
+def test_a_sample_without_errors_does_not_make_scores_certain():
+    logits = [np.array([4.0, 0.0])] * 50 + [np.array([0.0, 4.0])] * 50
+    heat = langid.temperature(logits, [0] * 50 + [1] * 50)
+    assert 0.5 < 1 / (1 + np.exp(-4 / heat)) < 0.999
+
+
+def test_many_labels_and_floods_of_one_row(spark):
+    r = random.Random(2)
+    data = [(i, f"{chr(0x4E00 + i % 300) * 3} " * r.randint(2, 5), f"l{i % 300}") for i in range(1800)]
+    data += [(5000, "the same row again", "flood")] * 3000
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    assert len(model.labels) > 256 and "l7" in model.labels and model.predict(chr(0x4E00 + 7) * 9)[0] == "l7"
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.predict(text("de", r, 5) + " " + text("es", r, 400_000))[0] == "es"
