@@ -11,11 +11,10 @@ from . import html, markdown, office
 
 
 def _text(content: bytes):
-    blocks = markdown.blocks_of(content.decode("utf-8", "replace"))
-    return markdown.title_of(blocks), {}, blocks
+    return None, {}, content.decode("utf-8", "replace")
 
 
-#: Suffix to converter name and parser, the first that names a suffix.
+#: Suffix to converter name and parser. A parser gives title, properties, and blocks or the Markdown of a text.
 CONVERTERS = {
     **dict.fromkeys(("md", "markdown", "txt", "text"), ("markdown", _text)),
     **dict.fromkeys(("html", "htm"), ("html", lambda content: html.parse(content.decode("utf-8", "replace")))),
@@ -30,22 +29,23 @@ def supported() -> list[str]:
 def convert(df: DataFrame) -> DataFrame:
     """Rows of the binaryFile source to source, sha256, format, converter, title, meta, blocks and error."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "sha256", "format", "converter", "title")])
-    schema = schema.add("meta", T.MapType(T.StringType(), T.StringType())).add("blocks", T._parse_datatype_string(markdown.BLOCKS)).add("error", "string")
+    schema = schema.add("meta", T.MapType(T.StringType(), T.StringType())).add("blocks", T._parse_datatype_string(markdown.BLOCKS)).add("markdown", "string").add("error", "string")
 
     def one(path: str, sha: str, content: bytes):
         suffix = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
         if suffix not in CONVERTERS:
-            return path, sha, suffix, None, None, [], [], f"unsupported format {suffix!r}; supported: {', '.join(supported())}"
+            return path, sha, suffix, None, None, [], [], None, f"unsupported format {suffix!r}; supported: {', '.join(supported())}"
         if not content:
-            return path, sha, suffix, None, None, [], [], "empty file"
+            return path, sha, suffix, None, None, [], [], None, "empty file"
         name, parse = CONVERTERS[suffix]
         try:
             title, meta, blocks = parse(content)
         except Exception as e:  # a damaged file is a row with its error, not a lost job
-            return path, sha, suffix, name, None, [], [], f"{type(e).__name__}: {e}"
-        return path, sha, suffix, name, title, list(meta.items()), blocks, None
+            return path, sha, suffix, name, None, [], [], None, f"{type(e).__name__}: {e}"
+        text = blocks if isinstance(blocks, str) else None
+        return path, sha, suffix, name, title, list(meta.items()), [] if text is not None else blocks, text, None
 
-    kinds = [pa.string()] * 5 + [pa.map_(pa.string(), pa.string()), markdown.ARROW, pa.string()]
+    kinds = [pa.string()] * 5 + [pa.map_(pa.string(), pa.string()), markdown.ARROW, pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -53,7 +53,10 @@ def convert(df: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
 
-    return df.select("path", F.sha2("content", 256).alias("sha"), "content").mapInArrow(run, schema)
+    rows = df.select("path", F.sha2("content", 256).alias("sha"), "content").mapInArrow(run, schema)
+    rows = markdown.with_blocks(rows.withColumn("_md", F.col("markdown")), "_md", "_own")
+    rows = rows.withColumn("blocks", F.when(F.col("markdown").isNotNull(), F.col("_own")).otherwise(F.col("blocks")))
+    return rows.withColumn("title", F.coalesce("title", F.when(F.col("markdown").isNotNull(), markdown.title()))).select(*(c for c in schema.names if c != "markdown"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +70,7 @@ def label_rows(spark: SparkSession, path: str, schema: str, zone: str, zones: tu
 
 def manifest(text: DataFrame, column: str = "value") -> DataFrame:
     """Rows of a five-column Markdown table: id, kind, format, licence, url; repeated ids are an error."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim(F.col(column)), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim(F.col(column)), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = text.where(F.trim(F.col(column)).startswith("|")).select(cells.alias("c")).where((F.size("c") == 5) & ~F.get("c", F.lit(0)).rlike(r"^(id|:?-+:?)$"))
     names = ("id", "kind", "format", "licence", "url")
     found = rows.select(*(F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)))

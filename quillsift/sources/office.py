@@ -69,7 +69,7 @@ def pptx(content: bytes) -> Parsed:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         slides = [ElementTree.fromstring(z.read(n)) for n in _members(z, r"ppt/slides/slide\d+\.xml")]
     text = [["".join(t.text or "" for t in p.iter(A + "t")) for p in s.iter(A + "p")] for s in slides]
-    found = markdown.blocks_of("\n\n".join(f"## Slide {i}\n\n" + "\n\n".join(x for x in own if x.strip()) for i, own in enumerate(text, 1)))
+    found = "\n\n".join(f"## Slide {i}\n\n" + "\n\n".join(x for x in own if x.strip()) for i, own in enumerate(text, 1))
     return None, {}, found
 
 
@@ -83,7 +83,7 @@ def xlsx(content: bytes) -> Parsed:
         return shared[int(value)] if c.get("t") == "s" and value else value
 
     tables = ["\n".join("| " + " | ".join(cell(c) for c in r.iter(S + "c")) + " |" for r in s.iter(S + "row")) for s in sheets]
-    return None, {}, markdown.blocks_of("\n\n".join(f"## Sheet {i}\n\n{t}" for i, t in enumerate(tables, 1)))
+    return None, {}, "\n\n".join(f"## Sheet {i}\n\n{t}" for i, t in enumerate(tables, 1))
 
 
 def epub(content: bytes) -> Parsed:
@@ -98,4 +98,4 @@ def rtf(content: bytes) -> Parsed:
     text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1252", "replace"), text)
     text = re.sub(r"\\u(-?\d+)\??", lambda m: chr(int(m[1]) % 65536), text)
     text = re.sub(r"\\(?:par|line)\b ?", "\n\n", text)
-    return None, {}, markdown.blocks_of(re.sub(r"\\[a-z]+-?\d* ?|[{}]", "", text))
+    return None, {}, re.sub(r"\\[a-z]+-?\d* ?|[{}]", "", text)

@@ -34,11 +34,27 @@ PAGE = """<html><head><title>My page</title><meta name="description" content="ig
 <p style="font-size:0px">tiny</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><footer>foot</footer></body></html>"""
 
 
-def test_markdown_blocks():
-    kinds = [(b["type"], b["level"]) for b in markdown.blocks_of(TEXT)]
-    assert kinds == [("heading", 1), ("paragraph", None), ("heading", 2), ("list_item", None), ("list_item", None), ("code", None), ("heading", 2), ("paragraph", None), ("paragraph", None)]
-    assert [b["type"] for b in markdown.blocks_of("a\nb\n---\n\nT\n===\n| a |\n| b |\n~~~\nx")] == ["paragraph", "heading", "table", "code"]
-    assert markdown.blocks_of("- a\n  more\n- b")[0]["text"] == "- a more" and markdown.blocks_of(None) == []
+def test_markdown_blocks(spark):
+    texts = [
+        (TEXT, [("heading", 1), ("paragraph", None), ("heading", 2), ("list_item", None), ("list_item", None), ("code", None), ("heading", 2), ("paragraph", None), ("paragraph", None)]),
+        ("a\nb\n---\n\nT\n===\n| a |\n| b |\n~~~\nx", [("paragraph", None), ("heading", 1), ("table", None), ("code", None)]),
+        ("- a\n  more\n- b", [("list_item", None), ("list_item", None)]),
+        ("- x\n---\ny", [("heading", 2), ("paragraph", None)]),
+        ("```\n# no\n~~~\n```\n# yes #\n#no\n\n\n  \n####### seven", [("code", None), ("heading", 1), ("paragraph", None), ("paragraph", None)]),
+        ("| a |\n| b |\n| c\n1) one\n    deep\n   # deeper\n\n  (2) two", [("table", None), ("paragraph", None), ("list_item", None), ("list_item", None)]),
+        ("\r\nA\r\n=\rB", [("heading", 1), ("paragraph", None)]),
+        ("", []),
+        (None, []),
+        ("word\n" * 700 + "\n# end", [("paragraph", None), ("heading", 1)]),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(texts)], "doc_id long, text string, other string")
+    rows = {r.doc_id: r for r in markdown.read(df).collect()}
+    for i, (_, want) in enumerate(texts):
+        assert [(b.type, b.level) for b in rows[i].blocks] == want, i
+        assert [b.block for b in rows[i].blocks] == list(range(len(want)))
+    assert rows[0].title == "Course work" and rows[2].blocks[0].text == "- a more" and rows[3].blocks[0].text == "- x"
+    assert rows[4].blocks[0].text == "```\n# no\n~~~\n```" and rows[4].blocks[1].text == "yes" and rows[5].blocks[2].text == "1) one deep # deeper"
+    assert rows[9].blocks[0].text.count("word") == 700 and rows[9].blocks[1].text == "end"
 
 
 def test_html_blocks():
@@ -123,10 +139,10 @@ def test_office_formats():
         z.writestr("ppt/slides/slide1.xml", '<p xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:p><a:t>Hello</a:t></a:p></p>')
         z.writestr("xl/worksheets/sheet1.xml", '<s xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><row><c t="inlineStr"><is><t>x</t></is></c><c><v>2</v></c></row></s>')
         z.writestr("OEBPS/a.xhtml", "<html><body><p>Chapter</p></body></html>")
-    assert [b["text"] for b in office.pptx(out.getvalue())[2]] == ["Slide 1", "Hello"]
-    assert office.xlsx(out.getvalue())[2][1]["text"] == "| x | 2 |"
+    assert office.pptx(out.getvalue())[2] == "## Slide 1\n\nHello"
+    assert office.xlsx(out.getvalue())[2] == "## Sheet 1\n\n| x | 2 |"
     assert office.epub(out.getvalue())[2][0]["text"] == "Chapter"
-    assert [b["text"] for b in office.rtf(rb"{\rtf1{\fonttbl{\f0 Arial;}}Hi \'e9\par Two}")[2]] == ["Hi é", "Two"]
+    assert office.rtf(rb"{\rtf1{\fonttbl{\f0 Arial;}}Hi \'e9\par Two}")[2].split("\n\n") == ["Hi é", "Two"]
 
 
 def test_manifest_and_repeats(spark):
