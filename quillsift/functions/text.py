@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import fixed
 
 Text = Column | str
+#: Elements that are folded at once.
+CHUNK = 256
 
 
 def _col(x: Text) -> Column:
@@ -70,15 +72,17 @@ def sentences(text: Text, p: str = fixed.SENTENCE) -> Column:
     text = _col(text)
     parts, gaps = F.split(text, "(?U)" + p, -1), F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(0))
     both = F.zip_with(parts, gaps, lambda a, b: F.struct(F.length(a).alias("n"), F.coalesce(F.length(b), F.lit(0)).alias("g"), a.alias("t")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("out"))
-    return F.aggregate(
-        both, zero,
-        lambda a, x: F.struct(
-            (a["at"] + x["n"] + x["g"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), F.regexp_replace(x["t"], r"(?U)^\s+|\s+$", "").alias("text")))).alias("out"),
-        ),
-        lambda a: F.filter(a["out"], lambda s: s["text"] != ""),
+    # in chunks, since a fold copies what it has found so far
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / CHUNK).cast("int")), lambda c: F.slice(both, c * CHUNK + 1, CHUNK))
+    none = F.expr("cast(array() as array<struct<start:int,text:string>>)")
+    own = lambda x, at: F.struct(at.alias("start"), F.regexp_replace(x["t"], r"(?U)^\s+|\s+$", "").alias("text"))
+    step = lambda a, x: F.struct((a["at"] + x["n"] + x["g"]).alias("at"), F.concat(a["out"], F.array(own(x, a["at"]))).alias("out"))
+    found = F.aggregate(
+        chunks, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,text:string>>>)").alias("out")),
+        lambda t, c: F.aggregate(c, F.struct(t["at"].alias("at"), none.alias("out")), step, lambda a: F.struct(a["at"].alias("at"), F.concat(t["out"], F.array(a["out"])).alias("out"))),
+        lambda t: F.flatten(t["out"]),
     )
+    return F.filter(found, lambda s: s["text"] != "")
 
 
 def excerpt(text: Text, limit: int = fixed.EXCERPT) -> Column:

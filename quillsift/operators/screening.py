@@ -16,46 +16,54 @@ def rank(column: str = "severity") -> Column:
 
 
 def _original(seen: Column, body: Column, place: Column) -> Column:
-    """The offset in body of an offset in its visible text."""
-    kept = F.filter(F.sequence(F.lit(1), F.length(body)), lambda i: ~F.rlike(F.substring(body, i, F.lit(1)), F.lit(fixed.INVISIBLE)))
-    return F.when(seen == body, place).otherwise(F.coalesce(F.get(kept, place) - 1, F.length(body)))
+    """The offset in body of an offset in its visible text: one more for every invisible character before it.
 
+    Folded over the pieces between invisible characters; a text without any is not looked at."""
+    zero = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("hid"), F.lit(False).alias("done"))
 
-def sentences_of(segments: DataFrame, needs: Column) -> DataFrame:
-    """A row for each sentence of the visible text of segments that meet a condition on `seen`."""
-    seen = segments.withColumn("seen", text.strip_invisible("text")).where(needs)
-    return seen.select("*", F.explode_outer(text.sentences("seen")).alias("sentence")).where("sentence IS NOT NULL")
+    def step(a: Column, piece: Column) -> Column:
+        n = F.length(piece)
+        past = ~a["done"] & (place >= a["seen"] + n)
+        return F.struct(F.when(past, a["seen"] + n).otherwise(a["seen"]).alias("seen"), F.when(past, a["hid"] + 1).otherwise(a["hid"]).alias("hid"), (a["done"] | ~past).alias("done"))
+
+    found = F.aggregate(F.split(body, fixed.INVISIBLE, -1), zero, step, lambda a: F.when(a["done"], place + a["hid"]).otherwise(F.length(body)))
+    return F.when(seen == body, place).otherwise(found)
 
 
 def text_findings(segments: DataFrame, keys: tuple[str, ...] = ("doc_id", "segment_id")) -> DataFrame:
-    """D1 and P1 findings: keys, detector, kind, severity, status, excerpt, start, end, note. At most one D1 a sentence."""
-    any_directive = F.coalesce(directive("seen").isNotNull(), F.lit(False))
-    rows = sentences_of(segments, any_directive).withColumn("pattern", directive("sentence.text")).where("pattern IS NOT NULL")
+    """D1 and P1 findings: keys, detector, kind, severity, status, excerpt, start, end, note. At most one of each a sentence.
+
+    One pass: a text is stripped and cut into sentences once, if anything in it calls for either detector, and a
+    sentence gives a row for each detector that fires."""
+    policy = lambda c: text.has(c, fixed.AI_TERMS) & text.has(c, fixed.POLICY_TERMS)
+    seen = segments.select(*keys, "text", text.strip_invisible("text").alias("seen"))
+    seen = seen.where(directive("seen").isNotNull() | policy("seen"))
+    rows = seen.select("*", F.explode_outer(text.sentences("seen")).alias("sentence")).where("sentence IS NOT NULL")
+    rows = rows.withColumn("pattern", directive("sentence.text")).withColumn("policy", F.coalesce(policy("sentence.text"), F.lit(False)))
     hit = F.lit(None).cast("string")
     for i, p in reversed(list(enumerate(fixed.DIRECTIVES))):
         hit = F.when(F.col("pattern") == i, F.regexp_extract("sentence.text", "(?iU)" + p, 0)).otherwise(hit)
-    rows = rows.withColumn("hit", hit).withColumn("at", F.col("sentence.start") + F.instr(F.col("sentence.text"), F.col("hit")) - 1)
-    d1 = rows.select(
-        *keys, F.lit("D1").alias("detector"), F.lit("ai_directive").alias("kind"), F.lit("warning").alias("severity"), F.lit("open").alias("status"), text.excerpt("sentence.text").alias("excerpt"),
-        _original(F.col("seen"), F.col("text"), F.col("at")).alias("start"), _original(F.col("seen"), F.col("text"), F.col("at") + F.length("hit")).alias("end"),
-        F.concat(F.lit("directive pattern "), F.col("pattern")).alias("note"),
-    )
-    policy = lambda c: text.has(c, fixed.AI_TERMS) & text.has(c, fixed.POLICY_TERMS)
-    rows = sentences_of(segments, policy("seen")).where(policy("sentence.text"))
-    p1 = rows.select(
-        *keys, F.lit("P1").alias("detector"), F.lit("ai_policy").alias("kind"), F.lit("info").alias("severity"), F.lit("open").alias("status"), text.excerpt("sentence.text").alias("excerpt"),
-        _original(F.col("seen"), F.col("text"), F.col("sentence.start")).alias("start"), _original(F.col("seen"), F.col("text"), F.col("sentence.start") + F.length("sentence.text")).alias("end"),
-        F.lit("statement about the use of AI tools").alias("note"),
-    )
-    return d1.unionByName(p1)
+    at = F.col("sentence.start") + F.instr(F.col("sentence.text"), F.col("hit")) - 1
+    rows = rows.where("pattern IS NOT NULL OR policy").withColumn("hit", hit).withColumn("at", at)
+
+    def found(detector: str, kind: str, severity: str, start: Column, length: Column, note: Column) -> Column:
+        return F.struct(F.lit(detector).alias("detector"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), start.alias("at"), (start + length).alias("to"), note.alias("note"))
+
+    d1 = found("D1", "ai_directive", "warning", F.col("at"), F.length("hit"), F.concat(F.lit("directive pattern "), F.col("pattern")))
+    p1 = found("P1", "ai_policy", "info", F.col("sentence.start"), F.length("sentence.text"), F.lit("statement about the use of AI tools"))
+    both = F.array_compact(F.array(F.when(F.col("pattern").isNotNull(), d1), F.when(F.col("policy"), p1)))
+    rows = rows.select(*keys, "text", "seen", text.excerpt("sentence.text").alias("excerpt"), F.explode(both).alias("f"))
+    place = lambda c: _original(F.col("seen"), F.col("text"), F.col(c))
+    return rows.select(*keys, "f.detector", "f.kind", "f.severity", F.lit("open").alias("status"), "excerpt", place("f.at").alias("start"), place("f.to").alias("end"), "f.note")
 
 
 def attach(findings: DataFrame, segments: DataFrame, key: str = "finding") -> DataFrame:
-    """findings with the first segment of their document that spans their block, and its first page where they have none."""
-    s = segments.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_q"), "block_start", "block_end", F.col("page_start").alias("_p"))
-    inside = (F.col("doc_id") == F.col("_d")) & F.col("block").between(F.col("block_start"), F.col("block_end"))
-    hit = findings.select("doc_id", key, "block").join(s, inside).groupBy("doc_id", key).agg(F.min(F.struct("_q", "_p")).alias("_s"))
-    joined = findings.join(hit, ["doc_id", key], "left")
+    """findings with the first segment of their document that spans their block, and its first page where they have none.
+
+    A segment is a row for each of its blocks, so findings meet it by an equal key and not by all pairs of a document."""
+    spans = segments.select(F.col("doc_id").alias("_d"), F.struct(F.col("seq").alias("_q"), F.col("page_start").alias("_p")).alias("_s"), F.explode(F.sequence("block_start", "block_end")).alias("_b"))
+    first = spans.groupBy("_d", "_b").agg(F.min("_s").alias("_s"))
+    joined = findings.join(first, (F.col("doc_id") == F.col("_d")) & (F.col("block") == F.col("_b")), "left")
     return joined.select(*(c for c in findings.columns if c != "page"), F.coalesce(F.when(F.col("page") > 0, F.col("page")), F.col("_s._p")).alias("page"), F.concat(F.lit("s"), F.col("_s._q")).alias("segment_id"))
 
 

@@ -2,7 +2,7 @@
 
 Every document keeps its blocks in one array. Blocks become items (long paragraphs several), one fold opens
 and closes segments, a second joins small tails to their predecessor, and segments are numbered in the order
-of their first block. All of it is Catalyst expressions over the row. Arrays that cost much are exploded by
+of their first block. All of it is Catalyst expressions over the row, folded in chunks so that the work is in proportion to a document. Arrays that cost much are exploded by
 the outer generator: for the inner one the optimizer would add a filter that computes them a second time.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed
 
 BLOCK = "struct<block:int,page:int,type:string,level:int,text:string,flags:array<string>>"
 ITEM = "struct<block:int,page:int,kind:string,type:string,level:int,raw:string,body:string,n:int,flags:array<string>>"
@@ -24,12 +24,14 @@ def est(sql: str) -> str:
 
 def pieces(sql: str) -> str:
     """SQL for the parts of a long paragraph: sentences packed greedily up to the most tokens of a segment."""
-    return f"""aggregate(split({sql}, r'(?U){fixed.SENTENCE_CAPITAL.replace("'", "\\x27")}'),
-        named_struct('out', cast(array() as array<string>), 'now', cast(null as string)),
-        (a, s) -> CASE WHEN a.now IS NULL THEN named_struct('out', a.out, 'now', s)
+    parts = f"""split({sql}, r'(?U){fixed.SENTENCE_CAPITAL.replace("'", "\\x27")}')"""
+    step = f"""CASE WHEN a.now IS NULL THEN named_struct('out', a.out, 'now', s)
             WHEN {est("a.now")} + {est("s")} > {fixed.MAX_TOKENS} THEN named_struct('out', concat(a.out, array(a.now)), 'now', s)
-            ELSE named_struct('out', a.out, 'now', concat(a.now, ' ', s)) END,
-        a -> CASE WHEN a.now IS NULL THEN a.out ELSE concat(a.out, array(a.now)) END)"""
+            ELSE named_struct('out', a.out, 'now', concat(a.now, ' ', s)) END"""
+    none = "cast(array() as array<string>)"
+    return f"""transform(array({parts}), p -> aggregate({_chunks("p", "size(p)")}, named_struct('out', cast(array() as array<array<string>>), 'now', cast(null as string)),
+        (t, c) -> aggregate(c, named_struct('out', {none}, 'now', t.now), (a, s) -> {step}, a -> named_struct('out', concat(t.out, array(a.out)), 'now', a.now)),
+        t -> CASE WHEN t.now IS NULL THEN flatten(t.out) ELSE concat(flatten(t.out), array(t.now)) END))[0]"""
 
 
 def _render(kind: str, level: str, body: str) -> str:
@@ -49,35 +51,59 @@ def items(blocks: str = "blocks") -> str:
         t -> named_struct('block', b.block, 'page', b.page, 'kind', {kind}, 'type', b.type, 'level', b.level, 'raw', t, 'body', {body}, 'n', {est(f"({body})")}, 'flags', b.flags))))"""
 
 
+#: Elements that are folded at once: what a fold has found is appended to all that was found before only once for each.
+CHUNK = 256
+
+
+def _chunks(array: str, size: str) -> str:
+    return f"transform(sequence(0, cast(({size} - 1) / {CHUNK} as int)), c -> slice({array}, c * {CHUNK} + 1, {CHUNK}))"
+
+
 def _fold() -> str:
-    """SQL that folds `items` into rows of (path, own items) in the order in which they close."""
-    group = f"array<struct<path:array<string>,own:array<{ITEM}>>>"
-    none, names = f"cast(array() as array<{ITEM}>)", "transform(a.stack, s -> s.text)"
-    shut = f"CASE WHEN size(a.furn) > 0 THEN array(named_struct('path', {names}, 'own', a.furn)) ELSE cast(array() as {group}) END"
-    close = f"CASE WHEN size(a.cur) > 0 THEN array(named_struct('path', a.path, 'own', a.cur)) ELSE cast(array() as {group}) END"
-    up = "concat(filter(a.stack, s -> s.level < coalesce(x.level, 1)), array(named_struct('level', coalesce(x.level, 1), 'text', x.raw)))"
-    full = f"a.have > 0 AND a.have + x.n > {fixed.MAX_TOKENS} AND a.have >= {fixed.MIN_TOKENS}"
-
-    def state(stack="a.stack", cur="a.cur", have="a.have", solid="a.solid", path="a.path", furn=none, done="a.done"):
-        return f"named_struct('stack', {stack}, 'cur', {cur}, 'have', {have}, 'solid', {solid}, 'path', {path}, 'furn', {furn}, 'done', {done})"
-
-    zero = f"""named_struct('stack', cast(array() as array<struct<level:int,text:string>>), 'cur', {none}, 'have', 0, 'solid', false,
-        'path', cast(array() as array<string>), 'furn', {none}, 'done', cast(array() as {group}))"""
-    hidden = state(cur=none, have="0", solid="false", done=f"concat(a.done, {shut}, {close}, array(named_struct('path', {names}, 'own', array(x))))")
-    head_new = state(stack=up, cur="array(x)", have="x.n", solid="false", path=f"transform({up}, s -> s.text)", done=f"concat(a.done, {shut}, {close})")
-    head_more = state(stack=up, cur="concat(a.cur, array(x))", have="a.have + x.n", done=f"concat(a.done, {shut})")
-    body_new = state(cur="array(x)", have="x.n", solid="true", path=names, done=f"concat(a.done, {shut}, {close})")
-    body_more = state(cur="concat(a.cur, array(x))", have="a.have + x.n", solid="true", done=f"concat(a.done, {shut})")
-    step = f"""CASE WHEN x.kind = 'furniture' THEN {state(furn="concat(a.furn, array(x))")}
-        WHEN x.kind = 'hidden' THEN {hidden}
-        WHEN x.kind = 'heading' AND (a.solid OR size(a.cur) = 0) THEN {head_new}
-        WHEN x.kind = 'heading' THEN {head_more}
-        WHEN size(a.cur) = 0 OR ({full}) THEN {body_new} ELSE {body_more} END"""
-    return f"aggregate(items, {zero}, (a, x) -> {step}, a -> concat(a.done, {close}, {shut}))"
+    """SQL that folds `items` into groups (path, furniture, first and last item) in the order in which they close.
+
+    The fold goes over numbers and keeps only where the open group and the open run of furniture began."""
+    group = "struct<path:array<string>,furniture:boolean,first:int,last:int>"
+    names = "transform(s.stack, h -> h.text)"
+    made = lambda path, furniture, first: f"named_struct('path', {path}, 'furniture', {furniture}, 'first', {first}, 'last', i - 1)"
+    shut = f"CASE WHEN s.furn >= 0 THEN array({made(names, 'true', 's.furn')}) ELSE cast(array() as array<{group}>) END"
+    close = f"CASE WHEN s.cur >= 0 THEN array({made('s.path', 'false', 's.cur')}) ELSE cast(array() as array<{group}>) END"
+    x = "items[i]"
+    up = f"concat(filter(s.stack, h -> h.level < coalesce({x}.level, 1)), array(named_struct('level', coalesce({x}.level, 1), 'text', {x}.raw)))"
+    full = f"s.have > 0 AND s.have + {x}.n > {fixed.MAX_TOKENS} AND s.have >= {fixed.MIN_TOKENS}"
+
+    def state(stack="s.stack", cur="s.cur", have="s.have", solid="s.solid", path="s.path", furn="-1", out="s.out"):
+        return f"named_struct('stack', {stack}, 'cur', {cur}, 'have', {have}, 'solid', {solid}, 'path', {path}, 'furn', {furn}, 'out', {out})"
+
+    alone = f"array(named_struct('path', {names}, 'furniture', false, 'first', i, 'last', i))"
+    hidden = state(cur="-1", have="0", solid="false", out=f"concat(s.out, {shut}, {close}, {alone})")
+    head_new = state(stack=up, cur="i", have=f"{x}.n", solid="false", path=f"transform({up}, h -> h.text)", out=f"concat(s.out, {shut}, {close})")
+    head_more = state(stack=up, have=f"s.have + {x}.n", out=f"concat(s.out, {shut})")
+    body_new = state(cur="i", have=f"{x}.n", solid="true", path=names, out=f"concat(s.out, {shut}, {close})")
+    body_more = state(have=f"s.have + {x}.n", solid="true", out=f"concat(s.out, {shut})")
+    step = f"""CASE WHEN {x}.kind = 'furniture' THEN {state(furn="CASE WHEN s.furn >= 0 THEN s.furn ELSE i END")}
+        WHEN {x}.kind = 'hidden' THEN {hidden}
+        WHEN {x}.kind = 'heading' AND (s.solid OR s.cur < 0) THEN {head_new}
+        WHEN {x}.kind = 'heading' THEN {head_more}
+        WHEN s.cur < 0 OR ({full}) THEN {body_new} ELSE {body_more} END"""
+    none = f"cast(array() as array<{group}>)"
+    zero = f"""named_struct('stack', cast(array() as array<struct<level:int,text:string>>), 'cur', -1, 'have', 0, 'solid', false,
+        'path', cast(array() as array<string>), 'furn', -1, 'out', cast(array() as array<array<{group}>>))"""
+    start = "named_struct('stack', a.stack, 'cur', a.cur, 'have', a.have, 'solid', a.solid, 'path', a.path, 'furn', a.furn, 'out', " + none + ")"
+    chunks = _chunks("sequence(0, size(items) - 1)", "size(items)")
+    rest = f"{close}, {shut}".replace("s.", "a.").replace("i - 1", "size(items) - 1")
+    return f"""CASE WHEN size(items) = 0 THEN {none} ELSE aggregate({chunks}, {zero},
+        (a, c) -> aggregate(c, {start}, (s, i) -> {step}, s -> {state(furn="s.furn", out="concat(a.out, array(s.out))")}),
+        a -> concat(flatten(a.out), {rest})) END"""
+
+
+def _owned() -> str:
+    """SQL for the folded groups with their items: a run of furniture inside a group is not its own."""
+    return "transform(groups, g -> named_struct('path', g.path, 'own', filter(slice(items, g.first + 1, g.last - g.first + 1), x -> g.furniture OR x.kind <> 'furniture')))"
 
 
 def _build() -> str:
-    """SQL that turns folded groups into segment structs."""
+    """SQL that turns groups with their items into segment structs."""
     chars = lambda where: f"aggregate(filter(g.own, x -> {where}), 0, (n, x) -> n + length(x.raw))"
     whole = f"greatest(1, {chars('true')})"
     body = "array_join(transform(g.own, x -> x.body), '\\n\\n')"
@@ -92,23 +118,27 @@ def _build() -> str:
 
 def tails(segments: str = "made") -> str:
     """SQL that joins a small tail to the segment before it, which may grow further."""
+    none = f"cast(array() as array<{SEGMENT}>)"
     furniture = ", ".join(f"'{f}'" for f in fixed.FURNITURE)
-    last = "element_at(a, -1)"
-    joins = f"""size(a) > 0 AND s.tokens < {fixed.MIN_TOKENS // 2} AND s.path = try_element_at(a, -1).path
-        AND NOT arrays_overlap(concat(s.flags, try_element_at(a, -1).flags), array({furniture}))
-        AND NOT exists(concat(s.flags, try_element_at(a, -1).flags), f -> startswith(f, 'hidden:'))
-        AND NOT array_contains(try_element_at(a, -1).flags, 'heading_only')
-        AND try_element_at(a, -1).tokens + s.tokens <= {fixed.MAX_TOKENS * fixed.MERGE_FACTOR}
-        AND s.block_start = try_element_at(a, -1).block_end + 1"""
-    both = f"concat({last}.text, '\\n\\n', s.text)"
-    joined = f"""named_struct('path', {last}.path, 'text', {both}, 'tokens', {est(both)}, 'flags', array_sort(array_union({last}.flags, s.flags)),
-        'page_start', {last}.page_start, 'page_end', coalesce(s.page_end, {last}.page_end), 'block_start', {last}.block_start, 'block_end', s.block_end)"""
-    return f"aggregate({segments}, cast(array() as array<{SEGMENT}>), (a, s) -> CASE WHEN {joins} THEN concat(slice(a, 1, size(a) - 1), array({joined})) ELSE concat(a, array(s)) END)"
+    joins = f"""a.last IS NOT NULL AND s.tokens < {fixed.MIN_TOKENS // 2} AND s.path = a.last.path
+        AND NOT arrays_overlap(concat(s.flags, a.last.flags), array({furniture}))
+        AND NOT exists(concat(s.flags, a.last.flags), f -> startswith(f, 'hidden:'))
+        AND NOT array_contains(a.last.flags, 'heading_only')
+        AND a.last.tokens + s.tokens <= {fixed.MAX_TOKENS * fixed.MERGE_FACTOR}
+        AND s.block_start = a.last.block_end + 1"""
+    both = "concat(a.last.text, '\\n\\n', s.text)"
+    joined = f"""named_struct('path', a.last.path, 'text', {both}, 'tokens', {est(both)}, 'flags', array_sort(array_union(a.last.flags, s.flags)),
+        'page_start', a.last.page_start, 'page_end', coalesce(s.page_end, a.last.page_end), 'block_start', a.last.block_start, 'block_end', s.block_end)"""
+    step = f"""CASE WHEN {joins} THEN named_struct('out', a.out, 'last', {joined})
+        ELSE named_struct('out', concat(a.out, CASE WHEN a.last IS NULL THEN {none} ELSE array(a.last) END), 'last', s) END"""
+    return f"""aggregate({_chunks(segments, f"greatest(1, size({segments}))")}, named_struct('out', cast(array() as array<array<{SEGMENT}>>), 'last', cast(null as {SEGMENT})),
+        (t, c) -> aggregate(c, named_struct('out', {none}, 'last', t.last), (a, s) -> {step}, a -> named_struct('out', concat(t.out, array(a.out)), 'last', a.last)),
+        t -> concat(flatten(t.out), CASE WHEN t.last IS NULL THEN {none} ELSE array(t.last) END))"""
 
 
 def segment_arrays(docs: DataFrame, out: str = "segments") -> DataFrame:
     """docs with `blocks` to docs with an array of segments in order."""
-    made = docs.withColumn("items", F.expr(items())).withColumn("groups", F.expr(_fold())).withColumn("made", F.expr(_build()))
+    made = docs.withColumn("items", F.expr(items())).withColumn("groups", F.expr(_fold())).withColumn("groups", F.expr(_owned())).withColumn("made", F.expr(_build()))
     joined = made.withColumn("joined", F.expr(tails()))
     order = "transform(array_sort(transform(joined, (s, i) -> named_struct('b', s.block_start, 'i', i))), o -> joined[o.i])"
     return joined.withColumn(out, F.expr(order)).drop("items", "groups", "made", "joined")
@@ -147,5 +177,3 @@ def heading_paths(lines: DataFrame, doc_id: str, order: str, level: str, body: s
         open_.append(F.when(ok, F.col(f"_h{k}.t")))
     return seen.withColumn("path", F.array_compact(F.array(*open_))).drop(*(f"_h{k}" for k in range(1, depth + 1)))
 
-
-__all__ = ["segments", "segment_arrays", "greedy", "heading_paths", "items", "pieces", "tails", "text"]

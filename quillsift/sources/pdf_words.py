@@ -81,7 +81,7 @@ def body_size(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def typed(rows: DataFrame) -> DataFrame:
     """Lines with type and level: bullets are items; large short lines are headings, their rank the level; short bold lines one level below."""
-    sized = rows.join(F.broadcast(body_size(rows)), "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0)))
+    sized = rows.join(body_size(rows), "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0)))
     large = (F.col("size") >= fixed.HEADING_FACTOR * F.col("body")) & (F.length("text") <= fixed.HEADING_CHARS)
     rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.when(large, -F.col("size")).asc_nulls_last()))
     sized = sized.withColumn("_rank", F.when(large, rank)).withColumn("_rank", F.when(F.col("_rank") <= fixed.HEADING_RANKS, F.col("_rank")))
