@@ -40,13 +40,17 @@ from .common import delete, id_field, shared_dir
 
 #: Bits of the frequency scale, most lanes, ids of a block, bytes of a reader's range.
 SCALE, LANES, BLOCK, RANGE = 20, 1024, 1 << 19, 32 << 20
-#: Remembered pieces, remembered cores in each of two generations, and characters that are split at once.
-PIECES, CORES, PIECE = 400_000, 500_000, 1 << 20
+#: Remembered pieces and remembered cores in each of two generations, and characters that are split at once.
+PIECES, CORES, PIECE = 500_000, 700_000, 1 << 20
 #: Punctuation that is cut from the end of a piece; characters before which a text is not lower-cased here.
 TAIL = ".,;:!?"
 COMPOSED = re.compile("[^\\x00-\u024f]|\u0130")
 #: A letter or digit that stays one, alone, in NFC and in lower case, so that punctuation behind it is split from it.
 PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and unicodedata.category(c.lower())[0] in "LN")
+#: A word that normalisation leaves as it is and splitting keeps whole, and the characters that stand for its bytes.
+WORD = re.compile("[" + "".join(sorted(c for c in PLAIN if c.isalpha() and c == c.lower())) + "]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 0x100 + n for n, b in enumerate(b for b in range(0x100) if b not in _SHOWN)}
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 MAGIC, HEAD = b"QSRANS1\n", struct.Struct("<IQIIII")
 LOW = np.uint64(1 << 31)
@@ -57,25 +61,39 @@ class Pieces(dict):
     behind it, which the library always splits apart; any other unknown piece is encoded whole."""
 
     def __init__(self, library: Tokenizer, code: str):
-        self.library, self.code, self.cores, self.old = library, code, {"": b""}, {}
+        self.library, self.model, self.code, self.cores, self.old_cores, self.old = library, library.model, code, {"": b""}, {}, {}
 
     def __missing__(self, piece: str) -> bytes:
-        core = piece.rstrip(TAIL)
-        if core and core[-1] in PLAIN:
-            found = self._core(core) + (self._core(piece[len(core) :]) if len(core) < len(piece) else b"")
-        else:
-            found = self._core(piece)
+        found = self.old.get(piece)
+        if found is None:
+            core = piece.rstrip(TAIL)
+            if core and core[-1] in PLAIN:
+                found = self._core(core)
+                if len(core) < len(piece):
+                    found += self._core(piece[len(core) :])
+            else:
+                found = self._core(piece)
         self[piece] = found
         return found
 
+    def age(self) -> None:
+        """Pieces become the older generation, whose pieces are kept only if they are met again."""
+        if len(self) > PIECES:
+            self.old = dict(self)
+            self.clear()
+
     def _core(self, word: str) -> bytes:
         found = self.cores.get(word)
         if found is None:
-            found = self.old.get(word)
+            found = self.old_cores.get(word)
             if found is None:
-                found = array(self.code, self.library.encode(word, add_special_tokens=False).ids).tobytes()
+                if WORD.fullmatch(word):  # one word as it is, so the model alone gives its ids
+                    ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))]
+                else:
+                    ids = self.library.encode(word, add_special_tokens=False).ids
+                found = array(self.code, ids).tobytes()
             if len(self.cores) > CORES:
-                self.old, self.cores = self.cores, {"": b""}
+                self.old_cores, self.cores = self.cores, {"": b""}
             self.cores[word] = found
         return found
 
@@ -105,8 +123,7 @@ class Encoder:
             low = text.lower()
             if not any(t in low for t in self.special):
                 text = low
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
+        self.pieces.age()
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(self, text: str | None) -> bytes:
