@@ -40,11 +40,14 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: The kind of seeds beyond the base, and what a token must be to be one.
 ALL_KINDS = (*KINDS, "secret")
 SECRET = "^(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
-#: Tokens with a digit, an at sign, or a sign followed by a letter; and what is left of one when it is trimmed.
-TOKEN = r"(?<!\S)(?:[^\s0-9@._/:=+\[\](){}-]++|[._/:=+\[\](){}-]++(?![A-Za-z0-9@]))*+[0-9@._/:=+\[\](){}-]\S*+"
+#: A token from its first digit, at sign, or sign before a letter on; the rest of it is the end of the gap before. What an
+#: instance is when it is trimmed.
+TOKEN = r"(?:[0-9@]|[._/:=+\[\](){}-]++[A-Za-z0-9])\S*+"
 INSTANCE = r"(?:[0-9][^0-9]*+){4}|[@0-9A-Za-z][._/:=+\[\](){}@-]+[0-9A-Za-z]"
 #: Known instances that a pattern needs; share of its occurrences that known instances must stand beside.
 SUPPORT, CONFIDENCE = 3, 0.5
+#: Characters of patterns that may be broadcast; one in so many texts gives the least that a pattern occurs.
+SENT, PROBE = 16 << 20, 64
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -91,11 +94,11 @@ def seeds(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     rows = rows.select("*", *(F.expr(f"CASE WHEN size(_m_{k}) > 0 THEN split(_text, {_quoted(e)}, -1) END").alias(f"_g_{k}") for k, e in cuts.items()))
     rows = rows.select("*", *(F.expr(_spans(f"_m_{k}", f"_g_{k}")).alias(f"_s_{k}") for k in cuts))
     base = "concat(" + ", ".join(f"transform(filter(_s_{k}, x -> {VALID[k]}), x -> named_struct('k', {n}, 's', x.s, 'e', x.e))" for n, k in enumerate(KINDS)) + ")"
-    left = "reverse(lower(_g_token[i]))"
-    right = "lower(_g_token[i + 1])"
-    one, two = r"'^\\s*+(\\S++)', 1", r"'^\\s*+\\S++\\s++(\\S++)', 1"
-    words = lambda gap, turn: f"filter(array({turn}(regexp_extract({gap}, {one})), {turn}(regexp_extract({gap}, {two}))), w -> w <> '')"
-    near = f"transform(_s_token, (x, i) -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'l', {words(left, 'reverse')}, 'r', {words(right, '')}))"
+    head = r"length(regexp_extract(reverse(_g_token[i]), r'^\S*+', 0))"
+    left, right = "reverse(lower(_g_token[i]))", "lower(concat(_g_token[i + 1], coalesce(get(_s_token, i + 1).v, '')))"
+    words = lambda gap, turn, *of: "filter(array(" + ", ".join(f"{turn}(regexp_extract({gap}, {_quoted(x)}, 1))" for x in of) + "), w -> w <> '')"
+    near = f"""transform(_s_token, (x, i) -> named_struct('s', x.s - {head}, 'e', x.e, 'v', concat(right(_g_token[i], {head}), x.v),
+        'l', {words(left, "reverse", r"^\S*+\s++(\S++)", r"^\S*+\s++\S++\s++(\S++)")}, 'r', {words(right, "", r"^\s*+(\S++)", r"^\s*+\S++\s++(\S++)")}))"""
     return rows.select(*keep, F.unhex(F.sha2("_text", 256)).alias("_key"), F.expr(base).alias("_base"), F.expr(near).alias("_cands"))
 
 
@@ -126,6 +129,8 @@ def _totals(docs: DataFrame, text: str, wide: DataFrame) -> DataFrame:
     pairs = F.expr("CASE WHEN size(t) > 1 THEN transform(sequence(0, size(t) - 2), i -> concat(t[i], ' ', t[i + 1])) END")
     twos = words.select("row", "_key", F.size("t").alias("n"), F.posexplode(pairs).alias("at", "words")).withColumn("end", F.col("at") + 2)
     wanted = wide.select("words").distinct()
+    if (wanted.agg(F.sum(F.length("words") + 40)).first()[0] or 0) <= SENT:
+        wanted = F.broadcast(wanted)
     by_row = ones.unionByName(twos).join(wanted, "words", "left_semi").groupBy("row", "_key", "words").agg(F.count(F.when(F.col("end") < F.col("n"), 1)).alias("l"), F.count(F.when(F.col("at") > 0, 1)).alias("r"))
     by_text = by_row.groupBy("_key", "words").agg(F.max("l").alias("l"), F.max("r").alias("r")).groupBy("words").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     return wide.join(by_text, "words").select("side", "words", F.when(F.col("side") == "l", F.col("l")).otherwise(F.col("r")).alias("total"))
@@ -137,7 +142,7 @@ def discover(docs: DataFrame, text: str, found: DataFrame) -> DataFrame | None:
     more = all_of.where("NOT base AND kind IS NOT NULL").select("_key", F.struct(F.col("kind").alias("k"), "s", "e").alias("x"))
     side = ["side", "words"]
     edges = cut(all_of.select("inst", "kind", F.explode("patterns").alias("p")).select("inst", "kind", "p.*").groupBy(*side, "inst", "kind").agg(F.count("*").alias("n")), "pii")
-    known, total, size = None, None, 0
+    known, total, least, size = None, None, None, 0
     while not edges.where("kind IS NULL").isEmpty():
         now = edges if known is None else edges.join(known, "inst", "left").withColumn("kind", F.coalesce("kind", "learned")).drop("learned")
         # the edges of one pattern and instance have one row for each seed kind, so counts of rows are counts of instances
@@ -146,11 +151,18 @@ def discover(docs: DataFrame, text: str, found: DataFrame) -> DataFrame | None:
         # a pattern without an unseen identifier beside it can teach nothing
         open_ = edges.where("kind IS NULL").select(*side).distinct()
         best = cut(best.where(F.col("support") >= SUPPORT).join(open_, side, "left_semi"), "pii")
-        fresh = best.select(*side) if total is None else cut(best.select(*side).join(total, side, "left_anti"), "pii")
+        # most words beside identifiers occur so often that a part of the texts rules them out: the rest are counted in all
+        new = best.select(*side) if least is None else cut(best.select(*side).join(least, side, "left_anti"), "pii")
+        if not new.isEmpty():
+            part = _totals(docs.where(F.pmod(F.xxhash64(text), F.lit(PROBE)) == 0), text, new).withColumnRenamed("total", "least")
+            found_ = new.join(part, side, "left").fillna(0, ["least"])
+            least = cut(found_ if least is None else least.unionByName(found_), "pii")
+        likely = best.join(least, side).where(F.col("hits") >= CONFIDENCE * F.col("least")).select(*side)
+        fresh = cut(likely if total is None else likely.join(total, side, "left_anti"), "pii")
         if not fresh.isEmpty():
             # a pattern without a total keeps a null, so that it is not looked for again
-            new = fresh.join(_totals(docs, text, fresh), side, "left")
-            total = cut(new if total is None else total.unionByName(new), "pii")
+            counted = fresh.join(_totals(docs, text, fresh), side, "left")
+            total = cut(counted if total is None else total.unionByName(counted), "pii")
         if total is None:
             break
         good = best.join(total, side).where(F.col("hits") >= CONFIDENCE * F.col("total")).select(*side, "learned", (F.col("hits") / F.col("total") * F.log2(F.col("support") + 1)).alias("score"))
