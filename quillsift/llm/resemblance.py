@@ -1,11 +1,14 @@
 """Near copies by fingerprints and by the similarity of five-word shingles.
 
 Documents are linked if their fingerprints are (simhash.py), or if the sets of their five-word shingles have a
-Jaccard similarity of at least LEAST. Candidates for the second share a shingle of their prefixes: shingles are put
-in one order for the whole corpus, rare ones first, and two sets of n shingles can only be that similar if they
-share one of the first n - ceil(LEAST * n) + 1, at places that leave room for the rest. This loses no pair, and a
-passage that many documents share does not make candidates of them, for it stands at the end of every order.
-Rareness is read from a table of SLOTS counts; it decides the number of candidates, not the result.
+Jaccard similarity of at least LEAST. Candidates for the second share a key. Sets of up to LARGE shingles give their
+prefixes: shingles are put in one order for the whole corpus, rare ones first, and two sets of n shingles can only be
+that similar if they share one of the first n - ceil(LEAST * n) + 1, at places that leave room for the rest. This loses
+no pair, and a passage that many documents share does not make candidates of them, for it stands at the end of every
+order. Rareness is read from a table of SLOTS counts; it decides the number of candidates, not the result. A prefix
+grows with its text, so sets of at least LEAST * LARGE shingles give BANDS bands of ROWS min-hashes each as well, and
+larger ones these alone: a pair at exactly 0.8 shares one with probability 0.999997. Two similar sets are either both of
+LARGE shingles at most or both of LEAST * LARGE at least, so they always meet by keys of one sort.
 
 Every candidate pair whose documents are not linked yet is compared by its whole sets; none is taken by estimate, and
 no bucket is cut. First the least and the greatest document of each bucket are compared with the others, so that a
@@ -13,14 +16,13 @@ crowd of near copies becomes one component by as many pairs as it has documents;
 still lie in different components.
 
 Defined results: texts of the same words are one text; fewer words than a shingle are one shingle; null and empty
-texts, and texts without words, are linked by fingerprint zero alone; a very long text has a prefix in proportion.
+texts, and texts without words, are linked by fingerprint zero alone; a very long text has as many keys as a long one.
 Rows of one id are one document and one of them stays; rows without an id stay; an empty table stays empty. Columns
 besides id and text are not looked at.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -36,27 +38,43 @@ from .components import stars
 
 #: Words of a shingle, least similarity, counts by which shingles are ordered.
 WORDS, LEAST, SLOTS = 5, 0.8, 1 << 20
+#: Shingles of a set that gives its prefix, min-hashes of a band, bands, shingles that are hashed at once.
+LARGE, ROWS, BANDS, HASHED = 160, 5, 32, 512
+FACTORS = np.random.default_rng(11).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+POWER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Rows whose results are held at once.
 STEP = 256
 
 
 def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of the word shingles, sorted."""
-    parts, tail = [], []
+    """The distinct hashes of the word shingles, sorted: hashes of words, summed up in their order and mixed."""
     digest = xxhash.xxh64_intdigest
-    for block in simhash.word_blocks(raw or b""):
-        own = tail + block
-        if len(own) >= words:
-            joined = b" ".join(own)
-            ends = list(itertools.accumulate(map(len, own), lambda a, b: a + b + 1))
-            starts = [0, *(e + 1 for e in ends)]
-            parts.append(np.array([digest(joined[s:e]) for s, e in zip(starts, ends[words - 1 :], strict=False)], np.uint64))
-            tail = own[len(own) - words + 1 :] if words > 1 else []
-        else:
-            tail = own
-    if not parts and tail:
-        parts.append(np.array([digest(b" ".join(tail))], np.uint64))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    blocks = [np.array([digest(w) for w in block], np.uint64) for block in simhash.word_blocks(raw or b"")]
+    own = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
+    if not len(own):
+        return own
+    size = min(words, len(own))
+    total = np.zeros(len(own) - size + 1, np.uint64)
+    for j in range(size):
+        total = total * POWER + own[j : j + len(total)]
+    total = (total ^ (total >> np.uint64(29))) * MIX
+    return np.unique(total ^ (total >> np.uint64(32)))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes."""
+    least = np.full(len(FACTORS), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), HASHED):
+        np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + HASHED]).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64)
+
+
+def keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of a set: its prefix, its bands, or both."""
+    parts = [prefix(hashes, counts)] if len(hashes) <= LARGE else []
+    if len(hashes) >= math.floor(LEAST * LARGE):
+        parts.append(bands(hashes))
+    return np.concatenate(parts)
 
 
 def needed(n: int) -> int:
@@ -98,8 +116,8 @@ def word_key(raw: bytes | None) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, fp, key of the words, number of distinct shingles, prefix)."""
-    schema = T.StructType([id_field(docs, doc_id), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """(doc_id, fp, key of the words, number of distinct shingles, keys for candidates)."""
+    schema = T.StructType([id_field(docs, doc_id), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     sent = docs.sparkSession.sparkContext.broadcast(rareness(docs, text))
 
     def run(batches):
@@ -109,7 +127,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
                 for x in part.column(1):
                     raw = x.as_py()
                     own = shingles(raw)
-                    out.append((np.uint64(simhash.fingerprint(raw, words)).view(np.int64).item(), word_key(raw), len(own), prefix(own, sent.value).view(np.int64)))
+                    out.append((np.uint64(simhash.fingerprint(raw, words)).view(np.int64).item(), word_key(raw), len(own), keys(own, sent.value).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], schema.names)
 
     return docs.select(F.col(doc_id), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
@@ -152,15 +170,15 @@ def labels(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) ->
     """(doc_id, component_id) of rows with an id: the smallest id that links reach."""
     signed = cut(signatures(docs, doc_id, text, words), "resemblance")
     named = cut(simhash.labels(signed.select(doc_id, "fp"), doc_id, radius), "resemblance")
-    texts = signed.where("n > 0").groupBy("key").agg(F.min(doc_id).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    texts = signed.where("n > 0").groupBy("key").agg(F.min(doc_id).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = cut(texts.join(named.withColumnRenamed("component_id", "root"), "fp").drop("fp"), "resemblance")
-    live = _apart(nodes.select("key", "root", "n", F.posexplode("prefix").alias("at", "shared")))
+    live = _apart(nodes.select("key", "root", "n", F.posexplode("keys").alias("at", "shared")))
     if live.isEmpty():
         return simhash.by_fingerprint(signed.select(doc_id, "fp"), named)
     reps = live.select("key").distinct().join(nodes.select("key", "rep"), "key").select(F.col("rep").alias(doc_id)).distinct()
     sets = cut(_sets(docs.join(reps, doc_id, "left_semi"), text), "resemblance")
-    # what two sets share is at most what follows the first shared shingle in either, itself included
-    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) * (1 + LEAST) + 1e-6 >= LEAST * (F.col("n") + F.col("m"))
+    # what two sets share is at most what follows the first shared shingle of their prefixes in either, itself included
+    room = (F.greatest("n", "m") > LARGE) | (F.col("at") > F.col("n") - F.ceil(F.col("n") * LEAST - 1e-9)) | (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) * (1 + LEAST) + 1e-6 >= LEAST * (F.col("n") + F.col("m")))
     near = room & (F.least("n", "m") >= LEAST * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
     for chosen in (F.min, F.max, None):
         second = live.select("shared", F.col("key").alias("b"), F.col("root").alias("v"), F.col("n").alias("m"), F.col("at").alias("place"))

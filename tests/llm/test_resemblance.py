@@ -13,7 +13,7 @@ def groups():
     r = random.Random(3)
     word = lambda: f"w{r.randint(0, 5000)}"
     out = []
-    for n in (40, 60, 120, 400):
+    for n in (40, 60, 120, 150, 190, 400):
         base = [word() for _ in range(n)]
         for changes in range(0, n // 25 + 3):
             own = list(base)
