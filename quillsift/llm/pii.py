@@ -157,6 +157,8 @@ def discover(docs: DataFrame, text: str, found: DataFrame) -> DataFrame | None:
             part = _totals(docs.where(F.pmod(F.xxhash64(text), F.lit(PROBE)) == 0), text, new).withColumnRenamed("total", "least")
             found_ = new.join(part, side, "left").fillna(0, ["least"])
             least = cut(found_ if least is None else least.unionByName(found_), "pii")
+        if least is None:
+            break
         likely = best.join(least, side).where(F.col("hits") >= CONFIDENCE * F.col("least")).select(*side)
         fresh = cut(likely if total is None else likely.join(total, side, "left_anti"), "pii")
         if not fresh.isEmpty():

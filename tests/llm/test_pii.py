@@ -136,3 +136,9 @@ def test_long_words_beside_identifiers_and_columns_with_clashing_names(spark):
     spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
     assert spans[9] == "email:3001:3009" and spans[10] == ""
     assert pii.redact(df).where("doc_id = 9").first().text.endswith("x [EMAIL] ok")
+
+
+def test_identifiers_without_any_pattern(spark):
+    df = spark.createDataFrame([(1, "a b@c.de f"), (2, "v1.2 g"), (3, "h +49123456789"), (4, "only 2024-x")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert spans == {1: "email:2:8", 2: "", 3: "phone:2:14", 4: ""}
