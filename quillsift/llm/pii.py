@@ -48,6 +48,8 @@ INSTANCE = r"(?:[0-9][^0-9]*+){4}|[@0-9A-Za-z][._/:=+\[\](){}@-]+[0-9A-Za-z]"
 SUPPORT, CONFIDENCE = 3, 0.5
 #: Characters of patterns that may be broadcast; one in so many texts gives the least that a pattern occurs.
 SENT, PROBE = 16 << 20, 64
+#: Words of 64 bits in the table that leaves out words that no pattern holds.
+CELLS = 4096
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -125,10 +127,15 @@ def mentions(found: DataFrame) -> DataFrame:
 def _totals(docs: DataFrame, text: str, wide: DataFrame) -> DataFrame:
     """(side, words, total): how often the patterns in wide occur in distinct texts with a word on their open side; texts are not shuffled to find their copies."""
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(F.col(text), 256)).alias("_key"), F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")), " ").alias("t"))
-    ones = words.select("row", "_key", F.size("t").alias("n"), F.posexplode("t").alias("at", "words")).withColumn("end", F.col("at") + 1)
-    pairs = F.expr("CASE WHEN size(t) > 1 THEN transform(sequence(0, size(t) - 2), i -> concat(t[i], ' ', t[i + 1])) END")
-    twos = words.select("row", "_key", F.size("t").alias("n"), F.posexplode(pairs).alias("at", "words")).withColumn("end", F.col("at") + 2)
     wanted = wide.select("words").distinct()
+    # words that cannot be meant are left out by a fixed table of bits before they become rows
+    cell = F.expr(f"pmod(hash(words), {64 * CELLS})")
+    bits = dict(wanted.select(cell.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, h % 64)")).alias("b")).collect())
+    table = "from_json('[" + ",".join(str(bits.get(i, 0)) for i in range(CELLS)) + "]', 'array<bigint>')"
+    meant = lambda found: F.expr(f"filter({found}, x -> getbit({table}[cast(floor(pmod(hash(x.words), {64 * CELLS}) / 64) as int)], pmod(hash(x.words), 64)) = 1)")
+    exploded = lambda found, size: words.select("row", "_key", F.size("t").alias("n"), F.explode(meant(found)).alias("x")).select("row", "_key", "n", "x.words", F.col("x.i").alias("at"), (F.col("x.i") + size).alias("end"))
+    ones = exploded("transform(t, (w, i) -> named_struct('i', i, 'words', w))", 1)
+    twos = exploded("CASE WHEN size(t) > 1 THEN transform(sequence(0, size(t) - 2), i -> named_struct('i', i, 'words', concat(t[i], ' ', t[i + 1]))) END", 2)
     if (wanted.agg(F.sum(F.length("words") + 40)).first()[0] or 0) <= SENT:
         wanted = F.broadcast(wanted)
     by_row = ones.unionByName(twos).join(wanted, "words", "left_semi").groupBy("row", "_key", "words").agg(F.count(F.when(F.col("end") < F.col("n"), 1)).alias("l"), F.count(F.when(F.col("at") > 0, 1)).alias("r"))

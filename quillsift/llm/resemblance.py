@@ -10,10 +10,12 @@ grows with its text, so sets of at least LEAST * LARGE shingles give BANDS bands
 larger ones these alone: a pair at exactly 0.8 shares one with probability 0.999997. Two similar sets are either both of
 LARGE shingles at most or both of LEAST * LARGE at least, so they always meet by keys of one sort.
 
-Every candidate pair whose documents are not linked yet is compared by its whole sets; none is taken by estimate, and
-no bucket is cut. First the least and the greatest document of each bucket are compared with the others, so that a
-crowd of near copies becomes one component by as many pairs as it has documents; then all pairs of a bucket that
-still lie in different components.
+Of every candidate pair whose documents are not linked yet the parities of the shingles in PARITIES parts are compared
+first: each parity that differs is a shingle that one of the sets lacks, and similar sets lack at most
+(1 - LEAST) / (1 + LEAST) of their shingles. What is left is compared by whole sets; none is taken by estimate, and
+no bucket is cut. In TURNS turns one document of each bucket, another in each turn, is compared with the others, so that
+a crowd of near copies becomes few components by as many pairs as it has documents; then the most alike two documents
+of each two components; then all pairs of a bucket that still lie in different components.
 
 Defined results: texts of the same words are one text; fewer words than a shingle are one shingle; null and empty
 texts, and texts without words, are linked by fingerprint zero alone; a very long text has as many keys as a long one.
@@ -39,11 +41,13 @@ from .components import stars
 #: Words of a shingle, least similarity, counts by which shingles are ordered.
 WORDS, LEAST, SLOTS = 5, 0.8, 1 << 20
 #: Shingles of a set that gives its prefix, min-hashes of a band, bands, shingles that are hashed at once.
-LARGE, ROWS, BANDS, HASHED = 160, 5, 32, 512
+LARGE, ROWS, BANDS, HASHED = 400, 5, 32, 512
+PARITIES = 512
+MARKS = [f"p{i}" for i in range(PARITIES // 64)]
 FACTORS = np.random.default_rng(11).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POWER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Rows whose results are held at once.
-STEP = 256
+#: Turns in which a bucket's documents are compared with one of them; rows whose results are held at once.
+TURNS, STEP = 5, 256
 
 
 def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -90,6 +94,12 @@ def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, rank))[: len(hashes) - needed(len(hashes)) + 1]]
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """PARITIES bits, in longs: whether a part of all hashes holds an odd number of these."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def rareness(docs: DataFrame, text: str) -> np.ndarray:
     """How often the shingles of each slot occur; SLOTS numbers, whatever the corpus. A task sends on what it saw twice."""
 
@@ -116,8 +126,8 @@ def word_key(raw: bytes | None) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, fp, key of the words, number of distinct shingles, keys for candidates)."""
-    schema = T.StructType([id_field(docs, doc_id), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(doc_id, fp, key of the words, number of distinct shingles, keys for candidates, parities)."""
+    schema = T.StructType([id_field(docs, doc_id), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in MARKS)])
     sent = docs.sparkSession.sparkContext.broadcast(rareness(docs, text))
 
     def run(batches):
@@ -127,8 +137,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
                 for x in part.column(1):
                     raw = x.as_py()
                     own = shingles(raw)
-                    out.append((np.uint64(simhash.fingerprint(raw, words)).view(np.int64).item(), word_key(raw), len(own), keys(own, sent.value).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], schema.names)
+                    out.append((np.uint64(simhash.fingerprint(raw, words)).view(np.int64).item(), word_key(raw), len(own), keys(own, sent.value).view(np.int64), *parities(own)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *(pa.int64() for _ in MARKS)), strict=True))], schema.names)
 
     return docs.select(F.col(doc_id), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
@@ -170,30 +180,37 @@ def labels(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) ->
     """(doc_id, component_id) of rows with an id: the smallest id that links reach."""
     signed = cut(signatures(docs, doc_id, text, words), "resemblance")
     named = cut(simhash.labels(signed.select(doc_id, "fp"), doc_id, radius), "resemblance")
-    texts = signed.where("n > 0").groupBy("key").agg(F.min(doc_id).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = signed.where("n > 0").groupBy("key").agg(F.min(doc_id).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in MARKS))
     nodes = cut(texts.join(named.withColumnRenamed("component_id", "root"), "fp").drop("fp"), "resemblance")
     live = _apart(nodes.select("key", "root", "n", F.posexplode("keys").alias("at", "shared")))
     if live.isEmpty():
         return simhash.by_fingerprint(signed.select(doc_id, "fp"), named)
+    live = cut(live.join(nodes.select("key", *MARKS), "key"), "resemblance")
     reps = live.select("key").distinct().join(nodes.select("key", "rep"), "key").select(F.col("rep").alias(doc_id)).distinct()
     sets = cut(_sets(docs.join(reps, doc_id, "left_semi"), text), "resemblance")
     # what two sets share is at most what follows the first shared shingle of their prefixes in either, itself included
-    room = (F.greatest("n", "m") > LARGE) | (F.col("at") > F.col("n") - F.ceil(F.col("n") * LEAST - 1e-9)) | (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) * (1 + LEAST) + 1e-6 >= LEAST * (F.col("n") + F.col("m")))
-    near = room & (F.least("n", "m") >= LEAST * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
-    for chosen in (F.min, F.max, None):
-        second = live.select("shared", F.col("key").alias("b"), F.col("root").alias("v"), F.col("n").alias("m"), F.col("at").alias("place"))
-        if chosen is None:
-            first = live.select("shared", F.col("key").alias("a"), F.col("root").alias("u"), "n", "at")
+    in_prefix = (F.col("at") <= F.col("n") - F.ceil(F.col("n") * LEAST - 1e-9)) & (F.col("place") <= F.col("m") - F.ceil(F.col("m") * LEAST - 1e-9))
+    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) * (1 + LEAST) + 1e-6 >= LEAST * (F.col("n") + F.col("m"))
+    room = (F.greatest("n", "m") > LARGE) | (in_prefix & room)
+    lacking = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in MARKS), F.lit(0))
+    near = room & (lacking * (1 + LEAST) <= (1 - LEAST) * (F.col("n") + F.col("m")) + 1e-6) & (F.least("n", "m") >= LEAST * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
+    for turn in [*range(TURNS), TURNS, None]:
+        second = live.select("shared", F.col("key").alias("b"), F.col("root").alias("v"), F.col("n").alias("m"), F.col("at").alias("place"), *(F.col(c).alias(f"q{c}") for c in MARKS))
+        if turn is None or turn == TURNS:
+            first = live.select("shared", F.col("key").alias("a"), F.col("root").alias("u"), "n", "at", *MARKS)
             pairs = first.join(second, "shared").where(near & (F.col("u") < F.col("v")))
+            if turn is not None:  # of each two components first the two documents that differ in the fewest parities
+                best = F.min_by(F.struct("a", "b"), F.struct(lacking.alias("x"), "a", "b"))
+                pairs = pairs.groupBy("u", "v").agg(best.alias("x")).select("x.a", "x.b", "u", "v")
         else:
-            first = live.groupBy("shared").agg(chosen(F.struct("key", "root", "n", "at")).alias("x")).select("shared", F.col("x.key").alias("a"), F.col("x.root").alias("u"), F.col("x.n").alias("n"), F.col("x.at").alias("at"))
+            first = live.groupBy("shared").agg(F.min_by(F.struct("key", "root", "n", "at", *MARKS), F.xxhash64("key", F.lit(turn))).alias("x")).select("shared", F.col("x.key").alias("a"), F.col("x.root").alias("u"), F.col("x.n").alias("n"), F.col("x.at").alias("at"), *(F.col(f"x.{c}").alias(c) for c in MARKS))
             pairs = second.join(first, "shared").where(near)
         star = stars(cut(_similar(pairs.select("a", "b", "u", "v").distinct(), sets), "resemblance"), "resemblance")
         if star.isEmpty():
             continue
         moved = star.toDF("old", "new")
         named = cut(named.join(moved, F.col("component_id") == F.col("old"), "left").select("fp", F.coalesce("new", "component_id").alias("component_id")), "resemblance")
-        live = _apart(live.join(moved, F.col("root") == F.col("old"), "left").select("key", F.coalesce("new", "root").alias("root"), "n", "at", "shared"))
+        live = _apart(live.join(moved, F.col("root") == F.col("old"), "left").select("key", F.coalesce("new", "root").alias("root"), "n", "at", "shared", *MARKS))
     return simhash.by_fingerprint(signed.select(doc_id, "fp"), named)
 
 
