@@ -19,7 +19,7 @@ def _literal(p: str) -> str:
 
 
 class Spark:
-    size, contains, line_filter = "size", "array_contains", "filter"
+    size, contains, line_filter, one = "size", "array_contains", "filter", "1.0"
 
     @staticmethod
     def has(x: str, p: str, flags: str = "i") -> str:
@@ -69,6 +69,98 @@ class Spark:
     pieces = staticmethod(lambda x, p: f"filter(split({x}, r'(?U){p}'), s -> trim(s) <> '')")
     task = staticmethod(lambda x: Spark.count(x, fixed.TASK_MARKERS))
     before = staticmethod(lambda x, p: f"split({x}, r'(?U){p}')[0]")
+    rounded = staticmethod(lambda x: F.bround(x, 2))
+
+
+#: White space and word boundaries of ASCII, and the letters outside ASCII whose case is that of a letter inside.
+_ASCII_SPACE = r"\t\n\f\r "
+_ASCII_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_ASCII_CASE = {"s": "ſ", "k": "\u212a"}
+
+
+def _ascii(p: str, flags: str = "") -> str:
+    """A pattern for Java that matches what the other dialect's engine does: classes and boundaries of ASCII, lines that only
+    \\n ends, and ends of the text after its last line break."""
+    out, inside, at = [], False, 0
+    while at < len(p):
+        x = p[at : at + 2] if p[at] == "\\" else p[at]
+        at += len(x)
+        more = _ASCII_CASE.get(x.lower(), "") if "i" in flags else ""
+        if x == r"\s":
+            x = _ASCII_SPACE if inside else f"[{_ASCII_SPACE}]"
+        elif x == r"\S":
+            x = f"[^{_ASCII_SPACE}]"
+        elif inside:
+            if "i" in flags and x.lower() == "z" and p[at - 3 : at - 1].lower() == "a-":
+                more = "".join(_ASCII_CASE.values())
+            inside, x = x != "]", x + more
+        elif x == "[":
+            inside = True
+        elif x == r"\b":
+            x = _ASCII_BOUNDARY
+        elif x == "^" and "m" in flags:
+            x = r"(?<![^\n])"
+        elif x == "$":
+            x = r"(?![^\n])" if "m" in flags else r"\z"
+        elif more:
+            x = f"[{x}{more}]"
+        out.append(x)
+    return "(?d" + flags.replace("m", "") + ")" + _literal("".join(out))
+
+
+class Ascii(Spark):
+    """What Duck's SQL gives, in Spark: words, space and boundaries are those of ASCII and sentences end by marks; shares are doubles."""
+
+    one = "1D"
+
+    @staticmethod
+    def has(x: str, p: str, flags: str = "i") -> str:
+        return f"({x} rlike r'{_ascii(p, flags)}')"
+
+    @staticmethod
+    def count(x: str, p: str, flags: str = "i") -> str:
+        return f"regexp_count({x}, r'{_ascii(p, flags)}')"
+
+    @staticmethod
+    def replace(x: str, p: str, to: str = "", flags: str = "i") -> str:
+        return f"regexp_replace({x}, r'{_ascii(p, flags)}', '{to}')"
+
+    @staticmethod
+    def filled(x: str) -> str:
+        """The other dialect trims all space separators."""
+        return f"filter({x}, s -> s rlike r'\\P{{Zs}}')"
+
+    @staticmethod
+    def lines(x: str) -> str:
+        return Ascii.filled(f"split({x}, '\\n')")
+
+    @staticmethod
+    def words(x: str) -> str:
+        return Ascii.count(x, r"\S+", "")
+
+    @staticmethod
+    def headings(x: str) -> str:
+        return f"regexp_extract_all({x}, r'{_ascii('^#+[^' + chr(92) + 'n]*', 'm')}', 0)"
+
+    @staticmethod
+    def sentences(x: str) -> str:
+        guarded = f"regexp_replace({x}, r'([A-Z][.])[ \t]+', '$1{chr(30)}')"
+        marked = f"regexp_replace(regexp_replace({guarded}, r'{_ascii('([.!?])' + chr(92) + 's+')}', '$1{chr(31)}'), r'\n+', '{chr(31)}')"
+        return f"transform({Ascii.filled(f"split({marked}, '{chr(31)}')")}, s -> replace(s, '{chr(30)}', ' '))"
+
+    @staticmethod
+    def join_all(x: str, p: str) -> str:
+        return f"array_join(regexp_extract_all({x}, r'{_ascii(p, 's')}', 0), '')"
+
+    @staticmethod
+    def pieces(x: str, p: str) -> str:
+        """The other dialect begins anew after each piece."""
+        return Ascii.filled(f"split({x}, r'{_ascii(p).replace('^', '^|' + chr(92) + 'G', 1)}')")
+
+    strip = staticmethod(lambda x: Ascii.replace(x, r"^\s+|\s+$", flags=""))
+    task = staticmethod(lambda x: f"({Ascii.count(x, fixed.TASK_MARKERS.replace('due(?! to)', 'due'))} - {Ascii.count(x, chr(92) + 'bdue to' + chr(92) + 'b')})")
+    before = staticmethod(lambda x, p: f"split({x}, r'{_ascii(p)}')[0]")
+    rounded = staticmethod(lambda x: F.rint(x * 100) / 100)
 
 
 class Duck(Spark):
@@ -131,7 +223,7 @@ def feature_levels(d) -> list[dict[str, str]]:
     """Columns to add, level by level, from seq, text, tokens_est, flags, heading_path, covered, n_d1, n_p1."""
     begins = lambda x, p: d.has(d.strip(x), p)
     fence = "```.*?```"
-    share = lambda a, b: f"(1.0 * {a} / greatest(1, {b}))"
+    share = lambda a, b: f"({d.one} * {a} / greatest(1, {b}))"
     return [
         {"body": d.strip(d.replace("text", r"^#+ [^\n]*$", flags="m")), "own": d.last(d.headings("text"))},
         {
@@ -200,7 +292,7 @@ def feature_levels(d) -> list[dict[str, str]]:
             "imperatives": d.total("sents", "s", f"CASE WHEN {begins('s', fixed.IMPERATIVE_START)} THEN 1 ELSE 0 END"),
             "sent_words": d.total("sents", "s", d.words("s")),
         },
-        {"task_hits": "task_words + imperatives", "density": "1.0 * (task_words + imperatives) / greatest(1, n_sents)", "mean_words": "1.0 * sent_words / greatest(1, n_sents)"},
+        {"task_hits": "task_words + imperatives", "density": f"{d.one} * (task_words + imperatives) / greatest(1, n_sents)", "mean_words": f"{d.one} * sent_words / greatest(1, n_sents)"},
     ]
 
 
@@ -274,14 +366,14 @@ def _case(found: list[Rule], part: str, other: str) -> str:
 INPUT = ("seq", "text", "tokens_est", "flags", "heading_path", "covered", "n_d1", "n_p1")
 
 
-def zone(segments: DataFrame) -> DataFrame:
+def zone(segments: DataFrame, d: type[Spark] = Spark) -> DataFrame:
     """segments, with the INPUT columns, plus zone, confidence, method, rule and signals."""
     rows = segments
     added: list[str] = []
-    for level in feature_levels(Spark):
+    for level in feature_levels(d):
         rows = rows.select("*", *(F.expr(sql).alias("z_" + name) for name, sql in _prefixed(level, added).items()))
         added += level
-    found = [Rule(*(_rename(x, added) if i in (1, 3, 4) else x for i, x in enumerate((r.name, r.when, r.zone, r.confidence, r.signal)))) for r in rules(Spark)]
+    found = [Rule(*(_rename(x, added) if i in (1, 3, 4) else x for i, x in enumerate((r.name, r.when, r.zone, r.confidence, r.signal)))) for r in rules(d)]
     index = "CASE " + " ".join(f"WHEN {r.when} THEN {i}" for i, r in enumerate(found)) + f" ELSE {len(found)} END"
     rows = rows.withColumn("z_rule", F.expr(index))
     pick = lambda values, other: "CASE z_rule " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + f" ELSE {other} END"
@@ -291,7 +383,7 @@ def zone(segments: DataFrame) -> DataFrame:
     signals = F.array_distinct(F.concat(F.when(F.col("z_rule") > after, before).otherwise(F.expr("cast(array() as array<string>)")), F.array_compact(F.array(signal))))
     return rows.select(
         *segments.columns, F.expr(pick([f"'{r.zone}'" for r in found], "'unknown'")).alias("zone"),
-        F.bround(F.expr(pick([f"cast({r.confidence} as double)" for r in found], "cast(0.3 as double)")), 2).alias("confidence"),
+        d.rounded(F.expr(pick([f"cast({r.confidence} as double)" for r in found], "cast(0.3 as double)"))).alias("confidence"),
         F.lit("heuristic").alias("method"), F.expr(pick([f"'{r.name}'" for r in found], "'none'")).alias("rule"), signals.alias("signals"),
     )
 

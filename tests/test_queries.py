@@ -158,3 +158,15 @@ def test_titles_decode_the_references_of_their_twin(spark, odd_pages):
 
 def test_blocks_decode_the_references_of_their_twin(spark, odd_pages):
     assert rows_of(QUERIES["html_blocks"](spark, odd_pages[0])) == twin("html_blocks", {"pages": odd_pages[1]})
+
+
+def test_zones_of_odd_texts_equal_their_twin(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    ends = ["Testü den", "È$$$ a", "due tomorrow", "due to", "a must", " ", "- - a", "- b", "• c", "A. b", "A.\x0bb", "Maſk", "tasK 3", "taſk 3", "ınstall it", "İnclude", "must", "submit.", "is a",
+            "\r", "end. Use", "for example", "é.", "www.x", "x = 1", "(c) 2020", "émust", "```", "``` x", "[a](b)", "...... 5", "\t", "abc.", "Ünlist", "- [a](b)", "[1] q", "key: v", "٣", "return x;", "{% é %}", "Schedule", "In general,"]
+    rows = [(i, "\n".join(" ".join(r.choice(ends) for _ in range(r.choice((1, 2, 3, 8, 30)))) for _ in range(r.randint(1, 9)))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows_of(QUERIES["zone_rules"](spark, str(tmp_path))) == twin("zone_rules", {"documents": df})
