@@ -1,10 +1,11 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
 Tokens are words and one end for each text. The root holds the smoothed unigram distribution of all training
-tokens. A context of one or two words is a candidate state if it makes up at least CONTEXT of the training
-tokens, and one of its followers is held explicitly if the pair makes up at least FOLLOWER of them; both
-bounds limit what is broadcast to 1 / CONTEXT states and 1 / FOLLOWER followers for each depth, whatever the
-corpus. The distribution of a state is its explicit counts smoothed by its parent's:
+tokens. Every context of one or two words that training holds at least twice is a candidate state and all its
+followers are held explicitly; `suffix_states` counts and tests them all, with no machine holding the tree. With
+CONTEXT or FOLLOWER above zero, a smaller tree that can be broadcast is learned instead: a context is a candidate
+state if it makes up at least CONTEXT of the training tokens, and one of its followers is held explicitly if the
+pair makes up at least FOLLOWER of them. The distribution of a state is its explicit counts smoothed by its parent's:
 
     P(w|s) = (c(s,w) + l * P(w|parent)) / (S + l),  S explicit count, l the other followers' count plus the
     number of explicit followers
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import suffix_states
 from .common import cut, id_field
 from .simhash import word_blocks
 
-CONTEXT, FOLLOWER, GAIN, DIVERGENCE = 1e-5, 2e-6, 2.0, 0.01
+CONTEXT, FOLLOWER, GAIN, DIVERGENCE = 0.0, 0.0, 2.0, 0.01
 #: Distinct entries and codes that a task gathers before it sends them on; longest word that can be part of a context.
 HELD, CODES, LONGEST = 400_000, 4_000_000, 64
 END, RARE = 1, 0
@@ -211,6 +213,8 @@ def fit(train: DataFrame, words: DataFrame) -> Model:
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Learns from the documents that are not held out and scores all."""
     rows = docs.select(F.col(doc_id), held_out(doc_id).alias("held_out"), F.col(text).cast("binary").alias("raw"))
+    if not (CONTEXT or FOLLOWER):
+        return suffix_states.score(rows, doc_id)
     train = rows.where(~F.col("held_out")).select("raw")
     words = cut(vocabulary(train), "suffix-tree")
     model = fit(train, words)
