@@ -29,7 +29,7 @@ from .simhash import word_blocks
 
 LEAST = 2
 #: Tokens of a batch and bytes of text for each part; a gain counts in steps of 1 / STEP nats.
-TOKENS, PART, STEP = 1_000_000, 16_000_000, 1 << 12
+TOKENS, PART, STEP = 600_000, 16_000_000, 1 << 12
 SCHEMA, STATE = "batch long, part int, data binary", -1
 WORDS, PAIRS, TRIPLES, WORD_KINDS, PAIR_KINDS, WORD_GAINS, PAIR_GAINS = range(7)
 COUNTS, GAINS = (WORDS, PAIRS, TRIPLES), (WORD_GAINS, PAIR_GAINS)
@@ -325,6 +325,10 @@ def score(rows: DataFrame, doc_id: str) -> DataFrame:
     folder = shared_dir(rows.sparkSession, "suffix-batches")
     fields = [T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]
 
+    def grouped(df: DataFrame, key: str):
+        """Tasks grow in number with the input, not in size."""
+        return df.repartition(parts, key).groupBy(key)
+
     def taken(table: pa.Table, rounds: int, total: int, distinct: int) -> Batch:
         b = Batch(folder, table, parts, total, distinct)
         for n in range(rounds):
@@ -334,7 +338,9 @@ def score(rows: DataFrame, doc_id: str) -> DataFrame:
     def asked(rounds: int, total: int, distinct: int):
         def run(table: pa.Table) -> pa.Table:
             batch = table.column("batch")[0].as_py()
-            return _table([(batch, p, d) for p, d in getattr(taken(table, rounds, total, distinct), f"ask{rounds}")()])
+            out = _table([(batch, p, d) for p, d in getattr(taken(table, rounds, total, distinct), f"ask{rounds}")()])
+            pa.default_memory_pool().release_unused()
+            return out
 
         return run
 
@@ -347,13 +353,14 @@ def score(rows: DataFrame, doc_id: str) -> DataFrame:
     path, known = _written(rows.mapInArrow(_batches(folder, TOKENS), SCHEMA))
     paths = [folder, path]
     for n in range(ROUNDS):
-        path, answers = _written(known.groupBy("batch").applyInArrow(asked(n, total, distinct), SCHEMA).groupBy("part").applyInArrow(lambda table: _answer(table, parts), SCHEMA))
+        requests = grouped(known, "batch").applyInArrow(asked(n, total, distinct), SCHEMA)
+        path, answers = _written(grouped(requests, "part").applyInArrow(lambda table: _answer(table, parts), SCHEMA))
         if n == 0:
             sums = [pickle.loads(r.data) for r in answers.where(f"batch = {STATE}").select("data").collect()]
             total, distinct = sum(s for s, _ in sums), sum(v for _, v in sums)
         known = known.unionByName(answers.where(f"batch <> {STATE}"))
         paths.append(path)
-    path, scored = _written(known.groupBy("batch").applyInArrow(last, T.StructType([id_field(rows, doc_id), *fields])))
+    path, scored = _written(grouped(known, "batch").applyInArrow(last, T.StructType([id_field(rows, doc_id), *fields])))
     for old in paths:
         delete(rows.sparkSession, old)
     return scored
