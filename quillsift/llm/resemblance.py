@@ -25,6 +25,7 @@ besides id and text are not looked at.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -194,6 +195,7 @@ def labels(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) ->
     room = (F.greatest("n", "m") > LARGE) | (in_prefix & room)
     lacking = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in MARKS), F.lit(0))
     near = room & (lacking * (1 + LEAST) <= (1 - LEAST) * (F.col("n") + F.col("m")) + 1e-6) & (F.least("n", "m") >= LEAST * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
+    moves = []
     for turn in [*range(TURNS), TURNS, None]:
         second = live.select("shared", F.col("key").alias("b"), F.col("root").alias("v"), F.col("n").alias("m"), F.col("at").alias("place"), *(F.col(c).alias(f"q{c}") for c in MARKS))
         if turn is None or turn == TURNS:
@@ -205,12 +207,16 @@ def labels(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) ->
         else:
             first = live.groupBy("shared").agg(F.min_by(F.struct("key", "root", "n", "at", *MARKS), F.xxhash64("key", F.lit(turn))).alias("x")).select("shared", F.col("x.key").alias("a"), F.col("x.root").alias("u"), F.col("x.n").alias("n"), F.col("x.at").alias("at"), *(F.col(f"x.{c}").alias(c) for c in MARKS))
             pairs = second.join(first, "shared").where(near)
-        star = stars(cut(_similar(pairs.select("a", "b", "u", "v").distinct(), sets), "resemblance"), "resemblance")
+        star = stars(_similar(pairs.select("a", "b", "u", "v").distinct(), sets), "resemblance")
         if star.isEmpty():
             continue
-        moved = star.toDF("old", "new")
+        moves.append(star)
+        if turn is not None:
+            moved = star.toDF("old", "new")
+            live = _apart(live.join(moved, F.col("root") == F.col("old"), "left").select("key", F.coalesce("new", "root").alias("root"), "n", "at", "shared", *MARKS))
+    if moves:  # a root that moves in one turn can be moved on in a later one
+        moved = stars(functools.reduce(DataFrame.unionByName, moves), "resemblance").toDF("old", "new")
         named = cut(named.join(moved, F.col("component_id") == F.col("old"), "left").select("fp", F.coalesce("new", "component_id").alias("component_id")), "resemblance")
-        live = _apart(live.join(moved, F.col("root") == F.col("old"), "left").select("key", F.coalesce("new", "root").alias("root"), "n", "at", "shared", *MARKS))
     return simhash.by_fingerprint(signed.select(doc_id, "fp"), named)
 
 

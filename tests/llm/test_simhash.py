@@ -83,3 +83,19 @@ def test_one_of_each_keeps_clean_null_and_one_of_repeats(spark):
     assert got == [(False, 2), (False, 7), (False, 9), (True, None)]
     assert simhash.one_of_each(df).columns == ["doc_id", "text"]
     assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_one_task_links_few_edges_as_rounds_do_and_in_two_writes(spark, monkeypatch):
+    r = random.Random(4)
+    pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 500)] + [(7, 7)]
+    written, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, tag: written.append(tag) or cut(df, tag))
+    for kind, name in (("long", lambda x: x), ("string", lambda x: f"d{x}é")):
+        edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"u {kind}, v {kind}").repartition(3)
+        written.clear()
+        own = components.stars(edges)
+        assert len(written) <= 2 and own.dtypes == edges.dtypes
+        with monkeypatch.context() as m:
+            m.setattr(components, "ALONE", 0)
+            assert sorted(own.collect()) == sorted(components.stars(edges).collect())
+    assert components.stars(edges.limit(0)).count() == 0
