@@ -16,8 +16,10 @@ import base64
 import hashlib
 import itertools
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -27,9 +29,9 @@ from pyspark.sql import types as T
 
 from .common import id_field
 
-#: Entries of the cache from a chunk of text to its ids, in each Python worker, rows that are worked on at once, and
-#: characters of a text that are cut into chunks at once. They bound memory and change no result.
-CACHE, ROWS, PIECE = 150_000, 128, 1 << 21
+#: Pre-tokens in each of two generations of the cache of a Python worker, the longest that is kept there, rows that are
+#: worked on at once, and characters of a text that are cut at once. They bound memory and change no result.
+CACHE, LONGEST, ROWS, PIECE = 150_000, 64, 128, 1 << 19
 UNKNOWN = ""
 
 
@@ -84,33 +86,61 @@ class Codec:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
+        self.code = "H" if max(ranks.values()) < 1 << 16 else "I"
         self.ids = [-1, *sorted(ranks.values())]
-        self.whole = ranks
+        self.whole = {token: array(self.code, [rank]).tobytes() for token, rank in ranks.items()}
         self.to_characters = dict(enumerate(byte_characters()))
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.words = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        split = {c: self.words(c) for c in chunks}
-        raw = {w: w.encode("utf-8", "surrogatepass") for w in set(itertools.chain.from_iterable(split.values()))}
-        known = {w: (self.whole[b],) for w, b in raw.items() if b in self.whole}
-        rest = [w for w in raw if w not in known]
-        mapped = [raw[w].decode("latin-1").translate(self.to_characters) for w in rest]
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Enters words that are not in the cache, from the older generation or by the model."""
+        cache, old, rest, mapped = self.cache, self.old, [], []
+        for w in words:
+            found = old.get(w)
+            if found is None:
+                raw = w.encode("utf-8", "surrogatepass")
+                found = self.whole.get(raw)
+                if found is None:
+                    rest.append(w)
+                    mapped.append(raw.decode("latin-1").translate(self.to_characters))
+                    continue
+            cache[w] = found
+        rank, code = self.ids.__getitem__, self.code
         for w, found in zip(rest, self.model.encode(mapped, out_type=int, num_threads=1), strict=True):
-            known[w] = tuple(self.ids[i] for i in found)
-        for c, own in split.items():
-            self.cache[c] = tuple(itertools.chain.from_iterable(known[w] for w in own))
+            cache[w] = array(code, map(rank, found)).tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """A pattern of this family never lets a token run over a single space between two characters that are not
-        white space, so texts are cut there and each distinct piece is encoded once; a text with other white space
-        beside a space is one piece."""
+    def forget(self) -> None:
+        self.cache, self.old = {}, {}
+
+    def coded(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as machine words of self.code. New pre-tokens of many texts go to the model at once,
+        for a call of it starts a thread."""
+        group, size = [], 0
         for text in texts:
-            yield list(itertools.chain.from_iterable(map(self._encode, self._parts(text or ""))))
+            own = text or ""
+            if size + len(own) > PIECE:
+                yield from self._encode(group)
+                group, size = [], 0
+            if len(own) > PIECE:
+                yield b"".join(itertools.chain.from_iterable(self._encode([part]) for part in self._parts(own)))
+            else:
+                group.append(own)
+                size += len(own)
+        yield from self._encode(group)
+
+    def values(self, coded: bytes) -> list[int]:
+        return memoryview(coded).cast(self.code).tolist()
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Each distinct pre-token is encoded once while it is remembered."""
+        return map(self.values, self.coded(texts))
 
     def _parts(self, text: str) -> Iterator[str]:
-        """Long texts in parts, cut before single spaces between two characters that are not white space."""
+        """Long texts in parts, cut before single spaces between two characters that are not white space: a pattern of
+        this family never lets a token run over these."""
         at = 0
         while at < len(text):
             stop = min(len(text), at + PIECE)
@@ -119,19 +149,16 @@ class Codec:
             yield text[at:stop]
             at = stop
 
-    def _encode(self, text: str) -> list[int]:
-        first, *rest = text.split(" ")
-        chunks = [*([first] if first else []), *(" " + x for x in rest)]
-        if first[-1:].isspace() and rest or not all(x and not x[0].isspace() and not x[-1].isspace() for x in rest):
-            chunks = [text]
-        if missing := set(chunks).difference(self.cache):
-            if len(self.cache) + len(missing) > CACHE:
-                self.cache.clear()
-                missing = set(chunks)
-            self._learn(missing)
-        found = list(itertools.chain.from_iterable(map(self.cache.__getitem__, chunks)))
-        if len(chunks) == 1 and len(text) > 200:
-            self.cache.pop(text, None)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        split = list(map(self.words, texts))
+        missing = sorted(set(itertools.chain.from_iterable(split)).difference(self.cache))
+        self._learn(missing)
+        found = [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        for w in missing:
+            if len(w) > LONGEST:
+                del self.cache[w]
         return found
 
     def decode(self, ids: list[int]) -> bytes:
@@ -171,10 +198,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     def run(batches):
         own = codec(path, pattern)
         for batch in _slices(batches):
-            ids = list(own.encode(batch.column(at).to_pylist()))
-            arrays = [pa.array(ids, pa.list_(pa.int32()))] + ([pa.array(map(own.decode, ids), pa.binary())] if decoded else [])
+            coded = list(own.coded(batch.column(at).to_pylist()))
+            flat = np.frombuffer(b"".join(coded), own.code).astype(np.int32)
+            ends = np.cumsum([0, *map(len, coded)]) // np.dtype(own.code).itemsize
+            arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+            if decoded:
+                arrays.append(pa.array((own.decode(own.values(x)) for x in coded), pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(f.name for f in fields)])
-        own.cache.clear()  # the worker goes on to other stages
+        own.forget()  # the worker goes on to other stages
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 

@@ -56,3 +56,21 @@ def test_columns_go_through_encode_and_decode(spark):
     assert [bytes(r.raw) for r in one] == [b"a b", b""]
     with pytest.raises(ValueError):
         byte_bpe.encode(df, PATH, P.PATTERN, out="TEXT")
+
+
+def test_the_model_is_asked_once_for_many_texts_and_for_no_word_it_remembers(library, monkeypatch):
+    own, asked = byte_bpe.Codec(PATH, P.PATTERN), []
+
+    class Model:
+        def encode(self, words, **more):
+            asked.append(list(words))
+            return model.encode(words, **more)
+
+    model, own.model = own.model, Model()
+    monkeypatch.setattr(byte_bpe, "CACHE", 100)
+    assert list(own.encode(texts())) == [library.encode_ordinary(t) for t in texts()]
+    assert len(asked) == 1  # 418 texts
+    assert all(len(w) <= byte_bpe.LONGEST for w in own.cache) and any(len(w) > byte_bpe.LONGEST for w in asked[0])
+    short = [t for t in texts() if all(len(w) <= byte_bpe.LONGEST for w in own.words(t))]
+    assert list(own.encode(short)) == [library.encode_ordinary(t) for t in short]  # from the older generation
+    assert len(own.old) > 100 and not any(asked[1:])
