@@ -40,10 +40,10 @@ from .common import delete, id_field, shared_dir
 
 #: Bits of the frequency scale, most lanes, ids of a block, bytes of a reader's range.
 SCALE, LANES, BLOCK, RANGE = 20, 1024, 1 << 19, 32 << 20
-#: Remembered pieces and remembered cores in each of two generations, and characters that are split at once.
-PIECES, CORES, PIECE = 500_000, 700_000, 1 << 20
+#: Remembered pieces in each of two generations, and characters that are split at once.
+PIECES, PIECE = 1_000_000, 1 << 20
 #: Punctuation that is cut from the end of a piece; characters before which a text is not lower-cased here.
-TAIL = ".,;:!?"
+TAIL = ".,;:!?*#$%&"
 COMPOSED = re.compile("[^\\x00-\u024f]|\u0130")
 #: A letter or digit that stays one, alone, in NFC and in lower case, so that punctuation behind it is split from it.
 PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and unicodedata.category(c.lower())[0] in "LN")
@@ -58,21 +58,22 @@ LOW = np.uint64(1 << 31)
 
 class Pieces(dict):
     """Pieces to their ids; an unknown piece whose core ends in a PLAIN character is the core and the punctuation
-    behind it, which the library always splits apart; any other unknown piece is encoded whole."""
+    behind it, which the library always splits apart, and both are remembered as pieces; any other unknown piece is
+    encoded whole."""
 
     def __init__(self, library: Tokenizer, code: str):
-        self.library, self.model, self.code, self.cores, self.old_cores, self.old = library, library.model, code, {"": b""}, {}, {}
+        self.library, self.tokenize, self.code, self.old = library, library.model.tokenize, code, {}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
             core = piece.rstrip(TAIL)
-            if core and core[-1] in PLAIN:
-                found = self._core(core)
-                if len(core) < len(piece):
-                    found += self._core(piece[len(core) :])
+            if len(core) < len(piece) and core and core[-1] in PLAIN:
+                found = self[core] + self[piece[len(core) :]]
+            elif WORD.fullmatch(piece):  # one word as it is, so the model alone gives its ids
+                found = array(self.code, [t.id for t in self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))]).tobytes()
             else:
-                found = self._core(piece)
+                found = array(self.code, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
         self[piece] = found
         return found
 
@@ -82,21 +83,6 @@ class Pieces(dict):
             self.old = dict(self)
             self.clear()
 
-    def _core(self, word: str) -> bytes:
-        found = self.cores.get(word)
-        if found is None:
-            found = self.old_cores.get(word)
-            if found is None:
-                if WORD.fullmatch(word):  # one word as it is, so the model alone gives its ids
-                    ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))]
-                else:
-                    ids = self.library.encode(word, add_special_tokens=False).ids
-                found = array(self.code, ids).tobytes()
-            if len(self.cores) > CORES:
-                self.old_cores, self.cores = self.cores, {"": b""}
-            self.cores[word] = found
-        return found
-
 
 class Encoder:
     """Texts to ids in the machine's byte order through the library, end id included.
@@ -111,7 +97,7 @@ class Encoder:
         split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "")
         self.special = [t["content"] for t in parts["added_tokens"]]
         self.by_piece = (parts["normalizer"] or {}).get("normalizers") == NORMALIZERS and split.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.by_piece &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"[ \n]|[.,;:!?]$", t["content"]) for t in parts["added_tokens"])
+        self.by_piece &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"[ \n]", t["content"]) or t["content"][-1:] in TAIL for t in parts["added_tokens"])
         self.type = np.dtype("u2" if self.library.get_vocab_size() <= 1 << 16 else "u4")
         self.end = np.array([end], self.type).tobytes()
         self.pieces = Pieces(self.library, "H" if self.type.itemsize == 2 else "I")
@@ -383,8 +369,8 @@ def count(staged: DataFrame, kind: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                own = np.bincount(np.frombuffer(raw.as_py(), kind))
+            for at in range(0, len(batch), 256):  # counts of a text alone would be as long as the vocabulary
+                own = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 256).to_pylist()), kind))
                 if len(own) > len(total):
                     own[: len(total)] += total
                     total = own.astype(np.int64)

@@ -102,3 +102,26 @@ def test_files_give_back_what_the_library_encodes(spark, monkeypatch, tmp_path):
     for r in token_files.digests(df, PATH, 2).collect():
         assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes())
     assert token_files.digests(df.limit(0), PATH, 2).count() == 0
+
+
+def test_a_known_word_before_new_marks_asks_the_library_for_the_marks_alone():
+    own, asked = token_files.Encoder(PATH, 2), []
+    library = own.library
+
+    class Library:
+        def encode(self, text, **more):
+            asked.append(text)
+            return library.encode(text, **more)
+
+    own.pieces.library = Library()
+    text = "ouat heerth*** ouat*** Zug$$$ zug$$$, 12%&# heerth# é*"
+    assert np.frombuffer(own.encode(text), own.type).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert sorted(asked) == sorted(["#", "$$$", "$$$,", "%&#", "***", "*", "12"])
+    equal_to_library(["<|endoftext|>* q", "a<|endoftext|>$", "x*̸", "'s* don't%", "İ#", "½&", "=$", "a*b* c", "*", "é$$"])
+
+
+def test_counts_over_many_rows(spark):
+    ids = [np.random.default_rng(i).integers(0, 40 + i, i % 7).astype("<u2") for i in range(700)]
+    staged = spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary").repartition(2)
+    want = np.bincount(np.concatenate(ids))
+    assert token_files.count(staged, "<u2").tolist() == want.tolist()
